@@ -42,6 +42,14 @@ def r6(c: Column) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+def r9(c: Column) -> Column:
+    return F.round(c, 9) + F.lit(0.0)
+
+
+def q9(expr: str) -> str:
+    return f"(round({expr}, 9) + 0.0::DOUBLE)"
+
+
 def q6(expr: str) -> str:
     return f"(round({expr}, 6) + 0.0::DOUBLE)"
 

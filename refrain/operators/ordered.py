@@ -187,3 +187,50 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k,
     """The first ``k`` rows per key; Spark cuts each input partition to ``k`` rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+
+def asof(
+    points: DataFrame,
+    grid: DataFrame,
+    keys: Sequence[str],
+    point_time: Column,
+    grid_time: Column,
+    payload: Sequence[str],
+    *,
+    before: str | None = "at",
+    after: str | None = None,
+    block_sec: float = 4096.0,
+) -> DataFrame:
+    """Attach the last grid row at or before each point (``before``) and the first one later (``after``).
+
+    Points and grid are merged on the time axis and scanned block by block, so the cost is
+    linear in both and a song's grid is never copied per point.
+    """
+    keys = list(keys)
+    payload_struct = F.struct(*payload)
+    p = points.select(
+        *keys, point_time.alias("__t"), F.lit(1).alias("__p"), F.struct(*points.columns).alias("__row"),
+        F.lit(None).cast(grid.select(payload_struct.alias("g")).schema["g"].dataType).alias("__g"),
+    )
+    g = grid.select(
+        *keys, grid_time.alias("__t"), F.lit(0).alias("__p"),
+        F.lit(None).cast(points.select(F.struct(*points.columns).alias("r")).schema["r"].dataType).alias("__row"),
+        payload_struct.alias("__g"),
+    )
+    wanted = {}
+    if before:
+        wanted["latest"] = {before: F.col("__g")}
+    if after:
+        wanted["following"] = {after: F.col("__g")}
+    block = F.floor(F.col("__t") / block_sec).cast("bigint")
+    merged = scan(p.unionByName(g), keys, block, ["__t", "__p"], **wanted)
+    return merged.filter("__p = 1").select("__row.*", *[c for c in (before, after) if c])
+
+
+def top_per_key_tiled(
+    df: DataFrame, keys: Sequence[str], tile: Column, order: Sequence[Column], k: Column, name: str = "rank"
+) -> DataFrame:
+    """``top_per_key`` for a limit that is a column: cut inside small tiles first, then per key."""
+    staged = df.withColumn("__tile", tile)
+    staged = top_per_key(staged, [*keys, "__tile"], order, k, "__pre").drop("__pre", "__tile")
+    return top_per_key(staged, keys, order, k, name)

@@ -278,7 +278,7 @@ pick AS (
     len(p.acc) < 8 AND len(list_filter(p.acc, lambda k: abs(k.e - o.e) < 2 AND abs(k.x - o.x) < 2)) = 0,
     CAST(len(p.acc) + 1 AS BIGINT)
   FROM pick p JOIN ord o ON o.song_id = p.song_id AND o.rn = p.rn + 1 WHERE len(p.acc) < 8)
-SELECT o.song_id, CAST(p.rank AS INT) AS rank, {q6('o.entry_sec')} AS start_sec, {q6('o.exit_sec')} AS end_sec, {q6('o.p_good')} AS p_good,
+SELECT o.song_id, CAST(p.rank AS INT) AS rank, {q6('o.entry_sec')} AS start_sec, {q6('o.exit_sec')} AS end_sec, {q9('o.p_good')} AS p_good,
   {q9('o.score')} AS score, o.prior
 FROM pick p JOIN ord o ON o.song_id = p.song_id AND o.rn = p.rn WHERE p.taken
 """

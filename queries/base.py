@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions.vectors import l2_normalize
 from refrain.operators.ordered import BLOCK_SEQ, block_of, dense_index, scan
+from refrain.operators.settle import settle
 from refrain.schemas import FEELS
 
 BEATS_PER_SONG = 128
@@ -170,15 +171,15 @@ def layer_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = block_of(F.col("seq"), BLOCK_SEQ)
     e = scan(e, ["song_id"], block, ["seq"], previous={"prev_value": F.col("value")}, before={"bar_idx": F.lit(1)})
     db = lambda c: F.round(20.0 * F.log10(c + 1e-9), 6)
-    return e.select(
+    return settle(e.select(
         "song_id",
         F.col("bar_idx").cast("int").alias("bar_idx"),
         (F.col("bar_idx") * BAR_SEC).alias("start_sec"),
         ((F.col("bar_idx") + 1) * BAR_SEC).alias("end_sec"),
         db(F.col("value")).alias("base_db"),
         db(F.coalesce("prev_value", "value")).alias("top_db"),
-        (F.col("k") / 200.0).alias("gain"),
-    )
+        (F.col("k") / 199.0).alias("gain"),
+    ))
 
 
 LAYER_BARS_SQL = """
@@ -191,7 +192,7 @@ layer_bars AS (
   SELECT song_id, CAST(i AS INT) AS bar_idx, i * 2.5::DOUBLE AS start_sec, (i + 1) * 2.5::DOUBLE AS end_sec,
     round(20.0::DOUBLE * log10(value + 1e-9::DOUBLE), 6) AS base_db,
     round(20.0::DOUBLE * log10(coalesce(prev_value, value) + 1e-9::DOUBLE), 6) AS top_db,
-    k / 200.0::DOUBLE AS gain
+    k / 199.0::DOUBLE AS gain
   FROM lb0)
 """
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refrain.functions.exact import clamp01, half_up
+from refrain.operators.settle import settle
 from refrain.operators.ordered import asof, block_of, core_rows, order_statistic, scan, with_neighbours
 
 SONG = ["song_id"]
@@ -150,6 +151,7 @@ def loop_warnings(loops: DataFrame, bars: DataFrame) -> DataFrame:
 
     ``loops`` (song_id, loop_id, start_sec, end_sec); ``bars`` are classified.
     """
+    bars = settle(bars)
     duration = F.when(F.col("quiet"), F.col("end_sec") - F.col("start_sec")).otherwise(F.lit(0.0))
     cum = scan(bars, SONG, block_of(F.col("bar_idx")), ["bar_idx"], before={"__quiet_sec": duration})
     near, w = with_neighbours(cum, SONG, "bar_idx", 0, 1)

@@ -35,16 +35,19 @@ def scan(
     previous: dict[str, Column] | None = None,
     latest: dict[str, Column] | None = None,
     following: dict[str, Column] | None = None,
+    highest: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add running columns per key in ``order``.
 
     ``before``/``through``: running sums excluding/including the row.
     ``previous``/``latest``: last non-null value before the row / up to and including it.
     ``following``: first non-null value after the row.
+    ``highest``: largest value before the row.
     Blocks must be non-decreasing in ``order``; a block is the unit of one task.
     """
     before, through = before or {}, through or {}
     previous, latest, following = previous or {}, latest or {}, following or {}
+    highest = highest or {}
     keys = list(keys)
     sums = {**before, **through}
     lasts = {**previous, **latest}
@@ -67,11 +70,14 @@ def scan(
         local[f"__in_{name}"] = F.last(expr, ignorenulls=True).over(upto)
     for name, expr in following.items():
         local[f"__in_{name}"] = F.first(expr, ignorenulls=True).over(later)
+    for name, expr in highest.items():
+        local[f"__in_{name}"] = F.max(expr).over(earlier)
     inner = base.select("*", *[c.alias(n) for n, c in local.items()])
 
     aggs = [F.sum(e).alias(f"__t_{n}") for n, e in sums.items()]
     aggs += [F.max_by(e, F.when(e.isNotNull(), position)).alias(f"__t_{n}") for n, e in lasts.items()]
     aggs += [F.min_by(e, F.when(e.isNotNull(), position)).alias(f"__t_{n}") for n, e in following.items()]
+    aggs += [F.max(e).alias(f"__t_{n}") for n, e in highest.items()]
     totals = base.groupBy(*keys, "__block").agg(*aggs)
 
     blocks = Window.partitionBy(*keys).orderBy("__block")
@@ -80,6 +86,7 @@ def scan(
     carried = [F.sum(f"__t_{n}").over(past).alias(f"__c_{n}") for n in sums]
     carried += [F.last(f"__t_{n}", ignorenulls=True).over(past).alias(f"__c_{n}") for n in lasts]
     carried += [F.first(f"__t_{n}", ignorenulls=True).over(future).alias(f"__c_{n}") for n in following]
+    carried += [F.max(f"__t_{n}").over(past).alias(f"__c_{n}") for n in highest]
     offsets = totals.select(*keys, "__block", *carried)
 
     joined = inner.join(offsets, [*keys, "__block"])
@@ -88,6 +95,7 @@ def scan(
         (F.coalesce(F.col(f"__in_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0))).alias(n) for n in sums
     ]
     out += [F.coalesce(F.col(f"__in_{n}"), F.col(f"__c_{n}")).alias(n) for n in [*lasts, *following]]
+    out += [F.greatest(F.col(f"__in_{n}"), F.col(f"__c_{n}")).alias(n) for n in highest]
     return joined.select(*out)
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refrain.operators.bars import MIN_LOOP_SEC, POINT_SLACK_SEC, bar_at, bar_profile
-from refrain.operators.ordered import BLOCK_ROWS, asof, scan, top_per_key, top_per_key_tiled
+from refrain.operators.ordered import BLOCK_ROWS, asof, block_of, scan, top_per_key, top_per_key_tiled
+from refrain.operators.settle import settle
 
 SONG = ["song_id"]
 FULL_LENGTH_SEC = 90.0
@@ -191,7 +192,8 @@ def _grid_matches(votes: DataFrame, bars: DataFrame) -> DataFrame:
 def _off_grid(votes: DataFrame, profile: DataFrame, min_loop: float) -> DataFrame:
     """Good votes between bar lines that would be acceptable wraps and that no bad vote disputes."""
     good = prior_match(votes.filter(F.col("rating") == "good"), votes).filter(F.col("prior") == "good")
-    placed = bar_at(bar_at(good, profile, "exit_sec", "x"), profile, "entry_sec", "e")
+    lines = profile.select("song_id", "bar_idx", "start_sec", "end_sec")
+    placed = bar_at(bar_at(good, lines, "exit_sec", "x"), lines, "entry_sec", "e")
     # Acceptance asks for bar 2 or later as exit; only listed bar pairs start two bars after the intro.
     x_ok = F.col("exit_late").isNotNull() & (F.col("bar_idx") >= 2)
     quiet = F.col("quiet_before").cast("bigint") * F.lit(int(_UNIT / 10)).cast("bigint")
@@ -274,10 +276,11 @@ def rank_suggestions(
     plus as entry.  ``votes`` (song_id, exit_sec, entry_sec, rating, vote_seq) are the
     current decisions.  Pairwise models rank through :func:`rank_scored_wraps`.
     """
-    profile = bar_profile(bars)
+    profile = settle(bar_profile(settle(bars)))
+    bars, votes = profile.select("song_id", "bar_idx", "start_sec", "end_sec"), settle(votes)
     exits, entries = _sides(profile)
-    exits = _positions(exits, bars, min_loop)
-    matches = _grid_matches(votes, bars)
+    exits = settle(_positions(exits, bars, min_loop))
+    matches = settle(_grid_matches(votes, bars))
     spread = (2 * DISTINCT_BARS - 1) ** 2 * count
     touched = matches.groupBy(*SONG).agg(F.count(F.lit(1)).alias("m"))
     songs = bars.select("song_id").distinct().join(touched, SONG, "left")
@@ -292,7 +295,7 @@ def rank_suggestions(
         .filter(F.col("exit_sec") - F.col("entry_sec") >= min_loop)
     )
     listed = approved.select("song_id", F.col("exit_sec").alias("g_exit"), F.col("entry_sec").alias("g_entry"))
-    off = _off_grid(votes, profile, min_loop)
+    off = settle(_off_grid(votes, profile, min_loop))
     cell = lambda c: F.floor(c / POINT_SLACK_SEC)
     covered = (
         off.withColumn("xb", F.explode(F.sequence(cell(F.col("exit_sec")) - 1, cell(F.col("exit_sec")) + 1)))
@@ -325,9 +328,8 @@ def rank_scored_wraps(pairs: DataFrame, count: int = SUGGESTION_COUNT) -> DataFr
 
 def acceptable_pair_counts(bars: DataFrame, min_loop: float = MIN_LOOP_SEC) -> DataFrame:
     """Number of acceptable bar pairs per song and per exit, from running counts instead of pairs."""
-    from refrain.operators.ordered import block_of
-
-    profile = bar_profile(bars)
+    profile = settle(bar_profile(settle(bars)))
+    bars = profile.select("song_id", "bar_idx", "start_sec", "end_sec")
     counted = scan(
         profile, ["song_id"], block_of(F.col("bar_idx")), ["bar_idx"], through={"ok_upto": F.col("entry_ok").cast("int")}
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refrain.functions.exact import fixed_text, fixed_units
-from refrain.operators.ordered import BLOCK_SEQ, block_of, dense_index, scan
+from refrain.operators.ordered import BLOCK_SEQ, block_of, scan
 
 CUT = ["source_name", "bars", "start_units", "end_units"]
 WRAP = ["source_name", "exit_units", "entry_units"]
@@ -164,8 +164,7 @@ def toggle_votes(clicks: DataFrame, keys: list[str], value: str = "rating", bloc
     position inside the run matters; runs are found with block-wise scans over ``seq``.
     """
     block = block_of(F.col("seq"), block_rows)
-    ordered = dense_index(clicks, keys, block, ["seq"], "__idx")
-    ordered = scan(ordered, keys, block, ["seq"], previous={"__prev": F.col(value)})
+    ordered = scan(clicks, keys, block, ["seq"], before={"__idx": F.lit(1)}, previous={"__prev": F.col(value)})
     starts = F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col(value)), F.col("__idx"))
     runs = scan(ordered, keys, block, ["seq"], latest={"__run": starts})
     odd = (F.col("__idx") - F.col("__run")) % 2 == 0

@@ -1,14 +1,7 @@
-"""Explicit schemas of every table the library reads or writes (never inferred)."""
+"""Explicit schemas (DDL text) of the tables the library reads or writes, and shared vocabularies."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _s(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
 # Vocabularies shared with existing logs and documents.
 BAR_LENGTHS = (1, 2, 4, 8, 16)
 VOTE_BAR_LENGTHS = (1, 2, 4, 6, 8, 12, 16)
@@ -27,25 +20,25 @@ STEM_LABELS = {
     "vocals": "Vocals",
 }
 
-PCM_CHUNK = _s(
+PCM_CHUNK = (
     "song_id string, channel int, chunk_idx bigint, start_sample bigint, sample_rate int, samples array<float>"
 )
-FRAME = _s(
+FRAME = (
     "song_id string, hop_idx bigint, t_sec double, chroma array<double>, timbre array<double>, "
     "spec array<double>, rms double, centroid double, flux double"
 )
-BEAT = _s("song_id string, beat_idx int, t_sec double")
+BEAT = "song_id string, beat_idx int, t_sec double"
 
-LOOP_VOTE_JSON = _s(
+LOOP_VOTE_JSON = (
     "at string, sourceName string, startSec double, endSec double, bars double, seamScore double, "
     "contextScore double, homogeneityScore double, qualityScore double, closureScore double, bpm double, "
     "vibeWindowSec double, rating string, note string, tags array<string>, analysisVersion string, "
     "wrapCrossfadeSec double, normalize boolean"
 )
-WRAP_VOTE_JSON = _s(
+WRAP_VOTE_JSON = (
     "version double, at string, sourceName string, exitSec double, entrySec double, fadeSec double, rating string"
 )
-PACK_VOTE_JSON = _s(
+PACK_VOTE_JSON = (
     "sourceName string, rating string, join struct<kind: string, exitSec: double, entrySec: double>"
 )
-PACK_DOCUMENT_JSON = _s("jumps array<struct<exitSec: double, entrySec: double, source: string>>")
+PACK_DOCUMENT_JSON = "jumps array<struct<exitSec: double, entrySec: double, source: string>>"

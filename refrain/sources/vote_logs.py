@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from refrain.schemas import (
     FEELS,
@@ -35,9 +34,8 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _parse(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    parsed = F.from_json(F.trim("value"), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+def _parse(lines: DataFrame, schema: str) -> DataFrame:
+    parsed = F.from_json(F.trim("value"), f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
     return lines.filter(F.length(F.trim("value")) > 0).withColumn("r", parsed)
 
 

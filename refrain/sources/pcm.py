@@ -104,9 +104,11 @@ def prepare_mono(pcm: DataFrame, trims: DataFrame | None = None) -> DataFrame:
     n_out = F.floor((F.col("b") - F.col("a")) / F.col("f"))
     kept = F.filter("samples", lambda s, i: (at(i) >= 0) & (at(i) % F.col("f") == 0) & (at(i) / F.col("f") < n_out))
     first = F.greatest(F.lit(0), F.ceil((F.col("start_sample") - F.col("a")) / F.col("f")))
+    # In its own step: a lambda would resolve start_sample to the alias of the same select.
+    x = x.withColumn("kept", kept)
     out = x.select(
         "song_id", F.lit(0).alias("channel"), "chunk_idx", first.alias("start_sample"),
-        (F.col("sample_rate") / F.col("f")).cast("int").alias("sample_rate"), kept.alias("samples"),
+        (F.col("sample_rate") / F.col("f")).cast("int").alias("sample_rate"), F.col("kept").alias("samples"),
     ).filter(F.size("samples") > 0)
     lead = out.groupBy("song_id").agg(F.min("chunk_idx").alias("__first"))
     return out.join(lead, "song_id").withColumn("chunk_idx", F.col("chunk_idx") - F.col("__first")).drop("__first")

@@ -72,7 +72,11 @@ def k_of_props() -> Column:
 
 # ---------------------------------------------------------------- votes from events
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").withColumn("k", k_of_props())
+    return votes_of(read(spark, sf_dir, "events"))
+
+
+def votes_of(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", k_of_props())
     kind = F.col("event_type")
     feels = F.array(*[F.lit(f) for f in FEELS])
     start = F.floor(F.col("value") / 50.0) * 2.5

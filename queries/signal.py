@@ -62,7 +62,7 @@ def stereo(p, rate: int = RATE):
     with_ctes(
         PCM_SQL,
         """
-        m AS (SELECT p.song_id, p.pos - 4800 AS k, x * 0.75::DOUBLE AS y, least(n, 48000) - 4800 AS size FROM pcm p JOIN len USING (song_id) WHERE p.pos >= 4800 AND p.pos < 48000),
+        m AS (SELECT p.song_id, p.pos - 4800 AS k, ((x + (x * 0.5::DOUBLE)::FLOAT::DOUBLE) * 0.5::DOUBLE)::FLOAT::DOUBLE AS y, least(n, 48000) - 4800 AS size FROM pcm p JOIN len USING (song_id) WHERE p.pos >= 4800 AND p.pos < 48000),
         k AS (SELECT * FROM m WHERE k % 2 = 0 AND k // 2 < size // 2)
         """,
         select=f"SELECT song_id, count(*) AS n, {q6('sum(y)')} AS total, {q6('sum(y * (k // 2 + 1)) / 1000.0::DOUBLE')} AS weighted FROM k GROUP BY 1",

@@ -238,8 +238,7 @@ ck AS (SELECT event_id AS seq, 'u' || user_id AS source_name, CAST(floor(value /
 """
 
 
-@query(
-    "vote_toggle_clicks",
+ORACLE_TOGGLE = (
     "WITH RECURSIVE "
     + _CLICKS_SQL.strip()
     + """,
@@ -251,8 +250,11 @@ ck AS (SELECT event_id AS seq, 'u' || user_id AS source_name, CAST(floor(value /
         CASE WHEN n.rating = st.state THEN 'clear' ELSE n.rating END,
         CASE WHEN n.rating = st.state THEN 'none' ELSE n.rating END
       FROM st JOIN n ON n.source_name = st.source_name AND n.cell = st.cell AND n.rn = st.rn + 1)
-    SELECT source_name, cell, seq, rating, emitted FROM st""",
+    SELECT source_name, cell, seq, rating, emitted FROM st"""
 )
+
+
+@query("vote_toggle_clicks", ORACLE_TOGGLE)
 def vote_toggle_clicks(spark, d):
     return V.toggle_votes(clicks(spark, d).drop("tag"), ["source_name", "cell"])
 

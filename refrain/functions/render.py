@@ -60,7 +60,8 @@ def title_from_name(name: Column) -> Column:
     """Words separated by spaces, every word character after a word break in upper case."""
     text = F.regexp_replace(F.regexp_replace(_without_extension(name), "[_-]+", " "), r"\s+", " ")
     pieces = F.split(F.trim(text), r"(?<=\W)(?=\w)")
-    return F.array_join(F.transform(pieces, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
+    raised = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
+    return F.array_join(F.transform(pieces, lambda w: F.when(w.rlike("^[A-Za-z0-9_]"), raised(w)).otherwise(w)), "")
 
 
 def is_song_id(song_id: Column) -> Column:

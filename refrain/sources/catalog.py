@@ -49,7 +49,7 @@ def asset_status(sources: DataFrame, assets: DataFrame) -> DataFrame:
                                     F.max(
                                         F.when(
                                             F.col("kind") == k,
-                                            F.struct(F.lit(i).alias("i"), F.concat_ws("-", "length", F.unix_millis("modified")).alias("v")),
+                                            F.struct(F.lit(i).alias("i"), F.concat_ws("-", "length", F.unix_millis(F.col("modified").cast("timestamp"))).alias("v")),
                                         )
                                     )
                                     for i, k in enumerate(("base", "top"))

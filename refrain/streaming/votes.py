@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from refrain.operators.ordered import scan
+from refrain.operators.settle import settle
 from refrain.sources.vote_logs import parse_loop_votes
 
 
@@ -74,12 +76,10 @@ def coalesce_bursts(edits: DataFrame, key: str, key_type: str, idle_ms: int = 50
     Edits further apart than the idle time never share a save, so each key is first cut at
     those gaps; the deadline rule then runs inside one gap-free stretch.
     """
-    from refrain.operators.ordered import scan
-
     block = F.floor(F.col("at_ms") / F.lit(86_400_000)).cast("bigint")
     gap = scan(edits.select(key, "at_ms"), [key], block, ["at_ms"], previous={"__prev": F.col("at_ms")})
     opens = (F.col("__prev").isNull() | (F.col("at_ms") - F.col("__prev") > idle_ms)).cast("int")
-    runs = scan(gap.withColumn("__o", opens), [key], block, ["at_ms"], through={"run": F.col("__o")})
+    runs = settle(scan(gap.withColumn("__o", opens), [key], block, ["at_ms"], through={"run": F.col("__o")}))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         closed, rest = _bursts(sorted(pdf["at_ms"]), idle_ms, deadline_ms, None)
@@ -88,7 +88,17 @@ def coalesce_bursts(edits: DataFrame, key: str, key_type: str, idle_ms: int = 50
         out.insert(0, key, pdf[key].iloc[0])
         return out
 
-    return runs.groupBy(key, "run").applyInPandas(split, f"{key} {key_type}, {_BURST}")
+    spans = runs.groupBy(key, "run").agg(
+        F.min("at_ms").alias("first_ms"), F.max("at_ms").alias("last_ms"), F.count(F.lit(1)).alias("edits")
+    )
+    long = F.col("last_ms") - F.col("first_ms") > deadline_ms
+    # A stretch within the deadline is one save; only longer ones need the step-by-step rule.
+    whole = spans.filter(~long).select(
+        key, "first_ms", "last_ms", "edits",
+        F.least(F.col("last_ms") + idle_ms, F.col("first_ms") + deadline_ms).alias("saved_ms"),
+    )
+    rest = runs.join(spans.filter(long).select(key, "run"), [key, "run"], "left_semi").select(key, "run", "at_ms")
+    return whole.unionByName(rest.groupBy(key, "run").applyInPandas(split, f"{key} {key_type}, {_BURST}"))
 
 
 def coalesce_stream(

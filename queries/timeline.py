@@ -45,7 +45,9 @@ def clips(spark, d):
     )
 
 
-PICKED = F.col("picked")
+def picked():
+    return F.col("picked")
+
 _NUMS = ("start_time", "trim_start", "trim_end", "gain", "fade_in_sec", "fade_out_sec", "speed")
 
 
@@ -173,7 +175,7 @@ def timeline_split(spark, d):
     ),
 )
 def timeline_duplicate_append(spark, d):
-    return show(T.duplicate_append(clips(spark, d), PICKED), "project_id", "clip_id", "row", "start_time")
+    return show(T.duplicate_append(clips(spark, d), picked()), "project_id", "clip_id", "row", "start_time")
 
 
 @query(
@@ -188,7 +190,7 @@ def timeline_duplicate_append(spark, d):
     ),
 )
 def timeline_duplicate_layers(spark, d):
-    out = T.duplicate_layers(clips(spark, d), PICKED)
+    out = T.duplicate_layers(clips(spark, d), picked())
     return out.select("project_id", "clip_id", "row", F.col("layer_index").cast("int").alias("layer_index"))
 
 
@@ -234,7 +236,7 @@ def stems(spark, d):
     with_ctes(CLIPS_SQL, _STEMS_SQL, select='SELECT project_id, clip_id, buffer_id, CAST(r AS INT) AS "row", label FROM planned'),
 )
 def timeline_layer_plan(spark, d):
-    out = T.layer_plan(clips(spark, d), buffers(spark, d), stems(spark, d), PICKED, 4)
+    out = T.layer_plan(clips(spark, d), buffers(spark, d), stems(spark, d), picked(), 4)
     return out.select("project_id", "clip_id", "buffer_id", "row", "label")
 
 
@@ -250,7 +252,7 @@ def timeline_layer_plan(spark, d):
 )
 def timeline_layer_plan_buffers(spark, d):
     b, s = buffers(spark, d), stems(spark, d)
-    out = T.layer_plan_buffers(T.layer_plan(clips(spark, d), b, s, PICKED, 4), b, s)
+    out = T.layer_plan_buffers(T.layer_plan(clips(spark, d), b, s, picked(), 4), b, s)
     return out.withColumn("duration_sec", r6(F.col("duration_sec")))
 
 
@@ -287,7 +289,7 @@ _USED_SQL = "used AS (SELECT DISTINCT c.project_id, c.buffer_id FROM clips c)"
 )
 def timeline_remove_clips(spark, d):
     c = clips(spark, d)
-    left, bufs = T.remove_clips(c, c.select("project_id", "buffer_id").distinct(), PICKED)
+    left, bufs = T.remove_clips(c, c.select("project_id", "buffer_id").distinct(), picked())
     return left.select("project_id", F.lit("clip").alias("kind"), F.col("clip_id").alias("id")).unionByName(
         bufs.select("project_id", F.lit("buffer").alias("kind"), F.col("buffer_id").alias("id"))
     )
@@ -305,7 +307,7 @@ def timeline_remove_clips(spark, d):
 )
 def timeline_bulk_update(spark, d):
     out = T.update_clips(
-        clips(spark, d), on=PICKED, gain=F.col("gain") * 3.0, speed=F.col("speed") * 2.0, fade_in=F.col("fade_in_sec") - 0.5
+        clips(spark, d), on=picked(), gain=F.col("gain") * 3.0, speed=F.col("speed") * 2.0, fade_in=F.col("fade_in_sec") - 0.5
     )
     return show(out, "project_id", "clip_id", "gain", "speed", "fade_in_sec")
 
@@ -321,7 +323,7 @@ def timeline_bulk_update(spark, d):
     ),
 )
 def timeline_rebase(spark, d):
-    out = T.rebase_selection(clips(spark, d), PICKED)
+    out = T.rebase_selection(clips(spark, d), picked())
     return out.select("project_id", "clip_id", r6(F.col("start_time")).alias("start_time"), r6(F.col("render_sec")).alias("render_sec"))
 
 

@@ -13,7 +13,7 @@ VOTE = "seq bigint, source_name string, start_sec double, end_sec double, bars i
 
 
 def votes(spark, rows):
-    full = [(i, "song", s, e, 4, r.get("rating"), r.get("note"), r.get("tags"), r.get("fade"), r.get("norm")) for i, (s, e, r) in enumerate(rows)]
+    full = [(i, "song", float(s), float(e), 4, r.get("rating"), r.get("note"), r.get("tags"), r.get("fade"), r.get("norm")) for i, (s, e, r) in enumerate(rows)]
     return spark.createDataFrame(full, VOTE)
 
 
@@ -62,7 +62,7 @@ def test_log_round_trip_with_torn_lines(spark, tmp_path):
     lines = [json.dumps(ok), "", '{"sourceName": "s", "st', json.dumps({**ok, "bars": 3}), json.dumps({**ok, "tags": ["nope"]}), json.dumps({**ok, "rating": None}), json.dumps({**ok, "rating": None, "note": ""})]
     (tmp_path / "log-001.jsonl").write_text("\n".join(lines))
     read = L.read_loop_votes(spark, str(tmp_path))
-    assert sorted(r.note or "-" for r in read.collect()) == ["", "-"]
+    assert sorted("-" if r.note is None else r.note for r in read.collect()) == ["", "-"]
     L.append_votes(read, str(tmp_path / "out"))
     L.append_votes(read, str(tmp_path / "out"))
     assert L.read_loop_votes(spark, str(tmp_path / "out")).count() == 4

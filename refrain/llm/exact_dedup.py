@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refrain.llm.registry import query, table
+from refrain.operators.settle import settle
 
 #: A text is split once it has more than this share of all rows, and at least _HOT_LEAST rows.
 _HOT_PARTS = 4096
@@ -53,7 +54,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.count(F.lit(1)).over(run).alias("run_size"),
         F.sha2("norm", 256).alias("text_sha256"),
     )
-    return _merge_slabs(runs).select(
+    return _merge_slabs(settle(runs)).select(
         F.col("id").alias(id_col), F.col("keep_id"), F.col("group_size"), F.col("kept"), F.col("text_sha256")
     )
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from refrain.llm import exact_dedup, simhash, url_rules  # noqa: F401
+from refrain.llm import exact_dedup, simhash, token_output, url_rules  # noqa: F401
 from refrain.llm.registry import ORACLES, QUERIES  # noqa: F401

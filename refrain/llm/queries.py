@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from refrain.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, quality, simhash, token_output, url_rules  # noqa: F401
+from refrain.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, quality, simhash, suffix_dedup, token_output, url_rules  # noqa: F401
 from refrain.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -31,7 +31,7 @@ FILE_SCHEMA = (
 READ_SCHEMA = "doc_id long, part int, in_part long, n_tokens long, ids_crc32 long"
 
 #: Text that a tokenizer with white space and punctuation splits always cuts here: a letter or digit, then these marks.
-_TAIL = re.compile(r"([A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff])[.,!|#$%&*?;:]+$")
+_TAIL = re.compile(r"([a-z0-9\xe0-\xf6\xf8-\xff])[.,!|#$%&*?;:]+$")
 _WORD = re.compile(r"[a-z\xe0-\xf6\xf8-\xff]+")
 
 
@@ -60,43 +60,60 @@ class CachedTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def _learn(self, pieces: set[str]) -> None:
-        cache, split, words = self.cache, {}, set()
+        cache, split, words = self.cache, [], []
         for piece in pieces:
-            m = _TAIL.search(piece)
-            head, tail = (piece[: m.end(1)], piece[m.end(1) :]) if m else (piece, "")
-            head = head.lower() if head.isascii() else head
-            split[piece] = (head, tail)
+            m = None if piece[-1].isalnum() else _TAIL.search(piece)
+            if m is None:
+                words.append(piece)
+                continue
+            head, tail = piece[: m.end(1)], piece[m.end(1) :]
+            split.append((piece, head, tail))
             for part in (head, tail):
-                if part not in cache:
-                    words.add(part)
-        plain = sorted(w for w in words if _WORD.fullmatch(w))
+                if part not in cache and part not in pieces:
+                    words.append(part)
+        plain = list(set(filter(_WORD.fullmatch, words)))
         for at in range(0, len(plain), self.JOINED):
             some = plain[at : at + self.JOINED]
             ids = self._ids(" ".join(some))
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
-                start = 0
-                for word, end in zip(some, ends.tolist(), strict=True):
-                    cache[word] = ids[start:end].tobytes()
+                raw, start, width = ids.tobytes(), 0, ids.itemsize
+                for word, end in zip(some, (ends * width).tolist(), strict=True):
+                    cache[word] = raw[start:end]
                     start = end
         for word in words:
             if word not in cache:
                 cache[word] = self._ids(word).tobytes()
-        for piece, (head, tail) in split.items():
-            cache[piece] = cache[head] + cache[tail]
+        for piece, head, tail in split:
+            cache[piece] = cache[head] + (cache[tail] if tail in cache else self._ids(tail).tobytes())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > self.MOST:
             self.cache = {"": b""}
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        cache = self.cache
-        missing: set[str] = set()
-        for p in pieces:
-            missing.update(w for w in p if w not in cache)
+        get = self.cache.get
+        pieces = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(get, p)) for p in pieces]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        missing = {p[i] for p, g in zip(pieces, gaps, strict=True) for i in g}
         if missing:
             self._learn(missing)
-        get = cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in pieces]
+            for p, f, g in zip(pieces, found, gaps, strict=True):
+                for i in g:
+                    f[i] = get(p[i])
+        return [np.frombuffer(b"".join(f), self.dtype) for f in found]
+
+
+def _lowered(text: str) -> str:
+    """Lower case where that maps each character to one, in ASCII and Latin-1, and can't make a special token."""
+    if "<|" in text:
+        return text
+    if text.isascii():
+        return text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}

@@ -4,8 +4,8 @@ A benchmark item is a bag of word shingles.  A document is contaminated by it if
 of as many words has a weighted (multiset) Jaccard similarity of at least ``similarity`` to
 the item.  Windows are found in three steps:
 
-1. A similar window must share most of its shingles with the benchmark, so only windows with
-   that many benchmark shingles are fingerprinted (an exact condition, no loss).
+1. A similar window must share most of its shingles with the item, so only windows with that
+   many shingles of items of their size are fingerprinted (an exact condition, no loss).
 2. Their 128-bit SimHash fingerprints are looked up in a multi-index: fingerprints within
    ``RADIUS`` bits agree up to RADIUS // BLOCKS bits in at least one of BLOCKS blocks.
 3. Items within the radius are compared with the window exactly, shingle by shingle.
@@ -80,6 +80,9 @@ class ItemIndex:
         self.known = np.unique(np.concatenate([p[1] for p in parsed])) if parsed else np.zeros(0, np.uint64)
         self.prints = np.array([_packed(votes(p[1]).sum(axis=0)) for p in parsed], np.uint16).reshape(-1, BLOCKS)
         self.sizes = sorted(set(self.words.tolist()))
+        self.of_size = np.zeros((len(self.sizes), len(self.known)), bool)  # known shingles of the items of each size
+        for key_hashes, size in ((p[1], p[2]) for p in parsed):
+            self.of_size[self.sizes.index(size), np.searchsorted(self.known, key_hashes)] = True
         self._near = lru_cache(maxsize=1 << 16)(self._block_items)
 
     def _block_items(self, block: int, value: int) -> frozenset[int]:
@@ -92,17 +95,21 @@ class ItemIndex:
         some = np.fromiter(found, np.int64, len(found))
         return some[np.bitwise_count(self.prints[some] ^ fingerprint).sum(axis=1) <= RADIUS].tolist() if len(some) else []
 
-    def matches(self, hashes: np.ndarray, known: np.ndarray, n_words: int) -> list[tuple[int, float, int, int]]:
-        """(item, similarity, first word, words) of the best window for each item; ``known`` marks benchmark shingles."""
+    def matches(self, hashes: np.ndarray, places: np.ndarray, n_words: int) -> list[tuple[int, float, int, int]]:
+        """(item, similarity, first word, words) of the best window for each item; ``places`` are those of known shingles."""
         best: dict[int, tuple[float, int, int]] = {}
-        hits = np.concatenate(([0], np.cumsum(known)))
+        which = self.of_size[:, np.searchsorted(self.known, hashes[places])]
         full_width = min(self.width, n_words)
-        for size in self.sizes:
+        for of_size in np.flatnonzero(which.any(axis=1)).tolist():
+            size = self.sizes[of_size]
             words = min(size, n_words)
             k = words - full_width + 1 if words >= full_width else 1
             item_k = max(size - self.width + 1, 1)
             # similarity >= s needs an overlap of s / (1 + s) of both bags together
             need = int(np.ceil(self.similarity / (1 + self.similarity) * (k + item_k) - 1e-9))
+            hits = np.zeros(len(hashes) + 1, np.int64)
+            hits[places[which[of_size]] + 1] = 1
+            hits = np.cumsum(hits)
             starts = np.flatnonzero(hits[k:] - hits[: len(hits) - k] >= max(need, 1))
             for at in np.split(starts, np.flatnonzero(np.diff(starts) > k) + 1) if len(starts) else []:
                 first, last = int(at[0]), int(at[-1]) + k
@@ -160,8 +167,8 @@ def _scanner(items: list[tuple], width: int, similarity: float):
             rows: list[tuple[int, int, float, int, int]] = []
             for i in np.flatnonzero(held[ends] > held[ends - counts]).tolist():
                 hashes, n_words = hashed[i]
-                own = known[ends[i] - counts[i] : ends[i]]
-                rows += [(i, *m) for m in index.matches(hashes, own, n_words)]
+                places = np.flatnonzero(known[ends[i] - counts[i] : ends[i]])
+                rows += [(i, *m) for m in index.matches(hashes, places, n_words)]
             taken = pa.array([r[0] for r in rows], pa.int64())
             key_type = pa.array([r[0] for r in items]).type if items else pa.int64()
             yield pa.RecordBatch.from_arrays(

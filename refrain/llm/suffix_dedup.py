@@ -100,6 +100,11 @@ class _Page:
     def document(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.stops, at, side="right")
 
+    def same_place(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether positions are the same place of the same id."""
+        x, y = self.document(a), self.document(b)
+        return (self.ids[x] == self.ids[y]) & (a - self.starts[x] == b - self.starts[y])
+
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
         """(positions, gram hashes) selected by winnowing, in text order."""
         n, found, hashes = len(self.text), [], []
@@ -275,15 +280,19 @@ def _earlier_places(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tupl
     yield from _dealt_back(bucket, rows, sizes, flags)
 
 
-def _gram_kinds(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
-    """0: one context; 1: several; 2: more than COLD."""
-    (grams, low, high, counts), sizes = _gathered(rows, 4)
-    distinct, at = np.unique(grams, return_inverse=True)
-    least, most = np.full(len(distinct), np.uint64(2**64 - 1)), np.zeros(len(distinct), np.uint64)
-    np.minimum.at(least, at, low)
-    np.maximum.at(most, at, high)
-    kinds = (least != most).astype(np.uint8) * (1 + (np.bincount(at, counts) > COLD))
-    yield from _dealt_back(bucket, rows, sizes, kinds[at])
+def _gram_kinds(cold: int):
+    """0: one context; 1: several; 2: more than ``cold``."""
+
+    def kinds(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
+        (grams, low, high, counts), sizes = _gathered(rows, 4)
+        distinct, at = np.unique(grams, return_inverse=True)
+        least, most = np.full(len(distinct), np.uint64(2**64 - 1)), np.zeros(len(distinct), np.uint64)
+        np.minimum.at(least, at, low)
+        np.maximum.at(most, at, high)
+        several = (least != most).astype(np.uint8) * (1 + (np.bincount(at, counts) > cold))
+        yield from _dealt_back(bucket, rows, sizes, several[at])
+
+    return kinds
 
 
 # ---- 3 and 4: known repeats, contexts to sort, strings of hot grams --------------------
@@ -297,18 +306,18 @@ def _split_contexts(bits: int):
             came_before = P.answered(row["context_answers"], "<u1").astype(bool)
             grams = np.unique(found.grams)
             kinds = P.answered(row["gram_answers"], "<u1")
-            is_first = np.zeros(len(found.at), bool)
-            is_first[found.firsts] = ~came_before
             doc = page.document(found.at)
+            leader = found.firsts[found.of]
+            is_first = page.same_place(found.at, found.at[leader]) & ~came_before[found.of]
             starts = np.maximum(found.at - LEFT, page.starts[doc])
             stops = np.minimum(found.at + LENGTH, page.stops[doc])
             known = ~is_first & (stops - starts >= LENGTH)
-            yield _step(_KNOWN, row["page"], entries=_pack_spans(starts[known], stops[known]))
             kind = kinds[np.searchsorted(grams, found.grams)] if len(grams) else np.zeros(0, np.uint8)
             for some in _slices(np.flatnonzero(is_first & (kind == 1) & (stops - starts >= LENGTH))):
                 yield _context_rows(page, found, some, doc)
             hot = np.flatnonzero(is_first & (kind == 2) & (stops - starts >= LENGTH))
-            first, second, at = _strings(page, found.at[hot])
+            first, second, at, copies = _strings(page, found.at[hot])
+            yield _step(_KNOWN, row["page"], entries=_pack_spans(np.append(starts[known], copies), np.append(stops[known], copies + LENGTH)))
             doc = page.document(at)
             yield _ask(row["page"], first, [second, page.ids[doc].view(np.uint64), at - page.starts[doc]], bits, _HOT)
             yield _step(_HOT_STARTS, row["page"], entries=P.pack(at.astype("<i8")))
@@ -346,8 +355,8 @@ def _context_rows(page: _Page, found: _Contexts, some: np.ndarray, doc: np.ndarr
     return pa.RecordBatch.from_arrays(list(columns.values()), schema=_ARROW_STEP)
 
 
-def _strings(page: _Page, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(two hashes, position) of the first of each distinct string around the samples, sorted by hash."""
+def _strings(page: _Page, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(two hashes, position) of the distinct strings around the samples, sorted by hash, and the positions of their later copies in the page."""
     starts = np.unique((at[:, None] - np.arange(LEFT + 1)).ravel())
     starts = starts[starts >= 0]
     starts = starts[page.starts[page.document(starts)] <= starts]
@@ -364,10 +373,11 @@ def _strings(page: _Page, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         second[a : a + _CHUNK] = _finish((words * _RANDOM[1, : words.shape[1]]).sum(axis=1))
     order = np.lexsort((starts, second, first))
     first, second, starts = first[order], second[order], starts[order]
-    if len(first):
-        # copies of a string in the page stay as entries of their own only if they start in another place of order: keep all
-        pass
-    return first, second, starts
+    new = np.ones(len(starts), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    leader = starts[np.flatnonzero(new)][np.cumsum(new) - 1] if len(starts) else starts
+    own = page.same_place(starts, leader)
+    return first[own], second[own], starts[own], starts[~own]
 
 
 def induced_repeats(group: np.ndarray, before: np.ndarray, after: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -497,7 +507,7 @@ def _settle_pages(rows: DataFrame) -> DataFrame:
     return spark.read.schema(_PAGE).parquet(path)
 
 
-def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, cold: int = COLD) -> DataFrame:
     """One row per document row: id, n_bytes, n_removed, spans (maximal removed runs), kept_sha256, kept (the rest, if ``with_text``).
 
     Texts are UTF-8 bytes, null as empty.  Strings are judged on the input and never cross
@@ -517,7 +527,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     P.drop_shuffles(spark)
     request = lambda table, kind: table.where(F.col("kind") == kind).select("page", "bucket", "entries")
     contexts = settle(P.by_bucket(request(asked, 0), _earlier_places, _ARROW_REQUEST, P.REQUEST))
-    kinds = settle(P.by_bucket(request(asked, 1), _gram_kinds, _ARROW_REQUEST, P.REQUEST))
+    kinds = settle(P.by_bucket(request(asked, 1), _gram_kinds(cold), _ARROW_REQUEST, P.REQUEST))
 
     answers = _per_page(grams, "answers").join(_per_page(contexts, "context_answers"), "page", "left").join(_per_page(kinds, "gram_answers"), "page", "left")
     steps = settle(pages.join(answers, "page", "left").mapInArrow(_split_contexts(bits), _STEP))

@@ -100,24 +100,28 @@ def _requests(order: int, bits: int):
                 hashes, counts = grams.all[grams.order], grams.counts()[grams.order].astype("<u4")
                 cuts = P.bucket_cuts(hashes, bits)
                 spans = [(i, x, y) for i, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if y > x]
-                entries = [(y - x).to_bytes(4, "little") + hashes[x:y].tobytes() + P.pack(counts[x:y]) for _, x, y in spans]
+                entries = [(y - x).to_bytes(4, "little") + P.pack_sorted(hashes[x:y], i, bits) + P.pack(counts[x:y]) for i, x, y in spans]
                 yield P.to_batch([(row["page"], i, e) for (i, _, _), e in zip(spans, entries, strict=True)], _ARROW_ANSWER)
 
     return ask
 
 
-def _totals(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
-    sizes = [int.from_bytes(e[:4], "little") for _, e in rows]
-    hashes = np.concatenate([np.frombuffer(e, "<u8", n, 4) for (_, e), n in zip(rows, sizes, strict=True)])
-    counts = np.concatenate([P.unpack(e[4 + 8 * n :], "<u4") for (_, e), n in zip(rows, sizes, strict=True)]).astype(np.int64)
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    firsts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    totals = np.empty(len(hashes), "<i8")
-    totals[order] = np.repeat(np.add.reduceat(counts[order], firsts), np.diff(np.append(firsts, len(hashes))))
-    ends = np.cumsum(sizes)
-    for (page, _), end, n in zip(rows, ends.tolist(), sizes, strict=True):
-        yield page, bucket, P.pack(totals[end - n : end])
+def _totals(bits: int):
+    def total(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
+        sizes = [int.from_bytes(e[:4], "little") for _, e in rows]
+        parts = [P.unpack_sorted(e[4:], n, bucket, bits) for (_, e), n in zip(rows, sizes, strict=True)]
+        hashes = np.concatenate([h for h, _ in parts])
+        counts = np.concatenate([P.unpack(rest, "<u4") for _, rest in parts]).astype(np.int64)
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+        firsts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        totals = np.empty(len(hashes), "<i8")
+        totals[order] = np.repeat(np.add.reduceat(counts[order], firsts), np.diff(np.append(firsts, len(hashes))))
+        ends = np.cumsum(sizes).tolist()
+        for (page, _), end, n in zip(rows, ends, sizes, strict=True):
+            yield page, bucket, P.pack(totals[end - n : end])
+
+    return total
 
 
 def _scores(order: int, backoff: float, corpus_words: int):
@@ -176,8 +180,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = rows.schema["id"].dataType.simpleString()
     pages = settle(rows.mapInArrow(_pages, f"page long, ids array<{id_type}>, lengths array<int>, n_words long, words binary, hashes binary"))
     corpus_words = pages.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    requests = pages.mapInArrow(_requests(order, P.bucket_bits(spark)), P.REQUEST)
-    totals = settle(P.by_bucket(requests, _totals, _ARROW_ANSWER, P.REQUEST))
+    bits = P.bucket_bits(spark)
+    totals = settle(P.by_bucket(pages.mapInArrow(_requests(order, bits), P.REQUEST), _totals(bits), _ARROW_ANSWER, P.REQUEST))
     P.drop_shuffles(spark)
     schema = f"id {id_type}, n_words long, n_full_order long, log_score double, mean_log_score double"
     return P.with_answers(pages, totals).mapInArrow(_scores(order, backoff, corpus_words), schema).withColumnRenamed("id", id_col)

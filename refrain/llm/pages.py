@@ -11,6 +11,7 @@ more than one entry per page, and no join key is ever hot.
 from __future__ import annotations
 
 import gc
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -87,7 +88,29 @@ def answered(answers: list[dict] | None, dtype: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
+def pack_sorted(hashes: np.ndarray, bucket: int, bits: int) -> bytes:
+    """Sorted hashes of one bucket as their steps, each in as many bytes as the largest needs; the first byte is that number."""
+    steps = np.diff(hashes, prepend=np.uint64(bucket) << np.uint64(64 - bits)).astype("<u8")
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.view("u1").reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_sorted(data: bytes, n: int, bucket: int, bits: int) -> tuple[np.ndarray, bytes]:
+    """(hashes, what follows them in ``data``)."""
+    width = data[0]
+    steps = np.zeros((n, 8), "u1")
+    steps[:, :width] = np.frombuffer(data, "u1", n * width, 1).reshape(n, width)
+    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64) + (np.uint64(bucket) << np.uint64(64 - bits)), data[1 + n * width :]
+
+
 def drop_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished stages go when the driver collects its garbage; after a large stage that was written, do it now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Remove the shuffle files of finished stages now.
+
+    Spark removes them when the driver happens to collect its garbage.  A plan whose result
+    has been written stays referenced until its end event has passed the listeners, so the
+    second round finds what the first could not.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

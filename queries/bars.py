@@ -175,8 +175,7 @@ def bars_longest_quiet_run(spark, d):
 )
 def bars_loop_warnings(spark, d):
     out = B.loop_warnings(loops(spark, d), classified(spark, d))
-    seconds = lambda s: F.regexp_extract(s["text"], r"(?:only|about) (\d+) s", 1)
-    label = lambda s: F.when(seconds(s) != "", F.concat(s["id"], F.lit(":"), seconds(s))).otherwise(s["id"])
+    label = lambda s: F.concat_ws(":", s["id"], s["seconds"].cast("string"))
     return out.select("song_id", "loop_id", F.concat_ws(",", F.transform("warnings", label)).alias("warnings"))
 
 

@@ -62,7 +62,7 @@ def stereo(p, rate: int = RATE):
     with_ctes(
         PCM_SQL,
         """
-        m AS (SELECT p.song_id, p.pos - 4800 AS k, ((x + (x * 0.5::DOUBLE)::FLOAT::DOUBLE) * 0.5::DOUBLE)::FLOAT::DOUBLE AS y, least(n, 48000) - 4800 AS size FROM pcm p JOIN len USING (song_id) WHERE p.pos >= 4800 AND p.pos < 48000),
+        m AS (SELECT p.song_id, p.pos - 4800 AS k, ((x + (x * 0.5::DOUBLE)::FLOAT::DOUBLE) * 0.5::DOUBLE)::FLOAT::DOUBLE AS y, n - 4800 AS size FROM pcm p JOIN len USING (song_id) WHERE p.pos >= 4800),
         k AS (SELECT * FROM m WHERE k % 2 = 0 AND k // 2 < size // 2)
         """,
         select=f"SELECT song_id, count(*) AS n, {q6('sum(y)')} AS total, {q6('sum(y * (k // 2 + 1)) / 1000.0::DOUBLE')} AS weighted FROM k GROUP BY 1",
@@ -70,7 +70,8 @@ def stereo(p, rate: int = RATE):
 )
 def pcm_prepare_mono(spark, d):
     p = stereo(text_pcm(spark, d), 48000)
-    trims = p.select("song_id").distinct().select("song_id", F.lit(0.1).alias("trim_start"), F.lit(1.0).alias("trim_end"))
+    # To the end of each song, and beyond it, where the trim is cut.
+    trims = P.song_lengths(p).select("song_id", F.lit(0.1).alias("trim_start"), (F.col("n_samples") / 48000.0 + 1.0).alias("trim_end"))
     m = P.prepare_mono(p, trims)
     part = m.select(
         "song_id",
@@ -135,14 +136,15 @@ def pcm_waveform_columns(spark, d):
     "pcm_interval_db",
     with_ctes(
         PCM_SQL,
-        "iv AS (SELECT song_id, unnest(range(0, 6)) AS k, n FROM len), ib AS (SELECT *, CAST(floor(k * 0.7::DOUBLE * 8000.0::DOUBLE) AS BIGINT) AS a, least(n, CAST(floor((k * 0.7::DOUBLE + 0.5::DOUBLE) * 8000.0::DOUBLE) AS BIGINT)) AS b FROM iv)",
+        "iv AS (SELECT song_id, unnest(range(0, n // 5600 + 2)) AS k, n FROM len), ib AS (SELECT *, CAST(floor(k * 0.7::DOUBLE * 8000.0::DOUBLE) AS BIGINT) AS a, least(n, CAST(floor((k * 0.7::DOUBLE + 0.5::DOUBLE) * 8000.0::DOUBLE) AS BIGINT)) AS b FROM iv)",
         select=f"""SELECT i.song_id, i.k, {q6('10.0::DOUBLE * log10(coalesce(sum(x * x), 0) / greatest(1, max(b - a)) + 1e-12::DOUBLE)')} AS db
         FROM ib i LEFT JOIN pcm p ON p.song_id = i.song_id AND p.pos >= a AND p.pos < b GROUP BY 1, 2""",
     ),
 )
 def pcm_interval_db(spark, d):
     p = text_pcm(spark, d)
-    iv = p.select("song_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns(
+    # One every 0.7 s over the whole song, the last beyond its end.
+    iv = P.song_lengths(p).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("n_samples") / 5600) + 1))).select("song_id", "k").withColumns(
         {"start_sec": F.col("k") * 0.7, "end_sec": F.col("k") * 0.7 + 0.5}
     )
     return S.interval_rms_db(p, iv, ["song_id", "k"]).withColumn("db", r6(F.col("db")))
@@ -213,14 +215,15 @@ def frame_rms(spark, d):
     "pcm_wav_roundtrip",
     with_ctes(
         PCM_SQL,
-        "w AS (SELECT song_id, pos, CAST(greatest(-32768, least(32767, floor(greatest(-1, least(1, x)) * 32767.0::DOUBLE + 0.5))) AS BIGINT) AS v FROM pcm WHERE pos >= 1000 AND pos < 5000)",
+        "w AS (SELECT song_id, pos, CAST(greatest(-32768, least(32767, floor(greatest(-1, least(1, x)) * 32767.0::DOUBLE + 0.5))) AS BIGINT) AS v FROM pcm JOIN len USING (song_id) WHERE pos >= floor(n / 8000.0::DOUBLE * 0.05::DOUBLE * 8000.0::DOUBLE + 0.5) AND pos < floor(n / 8000.0::DOUBLE * 0.95::DOUBLE * 8000.0::DOUBLE + 0.5))",
         select=f"SELECT song_id, 8000 AS sample_rate, count(*) AS n, {q6('sum(v) / 32768.0::DOUBLE')} AS total FROM w GROUP BY 1",
     ),
 )
 def pcm_wav_roundtrip(spark, d):
     p = text_pcm(spark, d)
     loops = P.song_lengths(p).select(
-        "song_id", F.lit("a").alias("cand_id"), F.lit(0.125).alias("start_sec"), F.lit(0.625).alias("end_sec"), F.lit(0.0).alias("fade_sec"), F.lit(False).alias("normalize")
+        "song_id", F.lit("a").alias("cand_id"), (F.col("n_samples") / 8000.0 * 0.05).alias("start_sec"), (F.col("n_samples") / 8000.0 * 0.95).alias("end_sec"),
+        F.lit(0.0).alias("fade_sec"), F.lit(False).alias("normalize"),
     )
     wav = settle(X.render_loops(loops, p, P.song_lengths(p)))
     back = P.decode_wav(wav.select("song_id", "content"))
@@ -235,7 +238,8 @@ def render_loops(spark, d):
     p = text_pcm(spark, d)
     n = P.song_lengths(p)
     loops = n.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(
-        "song_id", F.col("k").cast("string").alias("cand_id"), (F.col("k") * 0.5).alias("start_sec"), (F.col("k") * 0.5 + 2.0).alias("end_sec"),
+        "song_id", F.col("k").cast("string").alias("cand_id"), (F.col("n_samples") / 8000.0 * F.col("k") / 4).alias("start_sec"),
+        (F.col("n_samples") / 8000.0 * (F.col("k") + 1) / 4).alias("end_sec"),
         F.lit(0.035).alias("fade_sec"), (F.col("k") % 2 == 0).alias("normalize"),
     )
     return X.render_loops(loops, p, n).select("song_id", "cand_id", "sample_count", F.length("content").alias("bytes"))
@@ -244,12 +248,17 @@ def render_loops(spark, d):
 @query("align_offsets")
 def align_offsets(spark, d):
     p = text_pcm(spark, d)
-    shifted = p.withColumn("samples", F.concat(F.array_repeat(F.lit(0.0).cast("float"), 8), F.slice("samples", F.lit(1), F.greatest(F.lit(0), F.size("samples") - 8))))
+    # The whole signal delayed by eight samples: each chunk starts with the last eight of the one before.
+    tail = F.slice("samples", F.greatest(F.lit(1), F.size("samples") - 7), F.lit(8))
+    tails = p.select("song_id", "channel", (F.col("chunk_idx") + 1).alias("chunk_idx"), tail.alias("before"))
+    moved = p.join(tails, ["song_id", "channel", "chunk_idx"], "left")
+    before = F.coalesce("before", F.array_repeat(F.lit(0.0).cast("float"), 8))
+    shifted = moved.withColumn("samples", F.slice(F.concat(before, "samples"), F.lit(1), F.size("samples"))).select(*p.columns)
     return S.align_offsets(p, shifted)
 
 
 def _analysis(spark, d):
-    return D.analyse(text_pcm(spark, d), RATE)
+    return D.analyse(text_pcm(spark, d))
 
 
 @query("signal_tempo_and_beats")

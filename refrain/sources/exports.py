@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -146,17 +147,30 @@ def song_records(requests: DataFrame) -> DataFrame:
     return requests.select("source_name", "id", X.song_json(fields).alias("json"), notes.alias("notes"))
 
 
+def mixdown_problems(clips: DataFrame) -> DataFrame:
+    """Clips that ``mixdown`` can't place, as (project_id, clip_id, rule): those that need a time stretch."""
+    stretched = ~F.coalesce(F.abs(playback_speed() - 1.0) < 1e-6, F.lit(False))
+    return clips.filter(stretched).select("project_id", "clip_id", F.lit("needs-stretch").alias("rule"))
+
+
 def mixdown(clips: DataFrame, pcm: DataFrame, ends: DataFrame, rate: int, master: Column | float = 1.0, chunk: int = 65536, salts: int = 16) -> DataFrame:
-    """Sum of all clips at speed 1 per project: gain automation times samples, in output chunks.
+    """Sum of all clips per project: gain automation times samples, in output chunks of (project_id, channel, out_chunk, samples, n_samples).
 
     ``pcm``: song_id = buffer_id, at ``rate``; ``ends``: project_id, end_sec.  Every clip meets
     only the chunks inside its trim; overlapping pieces are added per salt first, then per chunk.
+    Two channels at least, a mono buffer on both; silent chunks are there, and the last one
+    ends with the mix.  A project with a clip of ``mixdown_problems`` has no mix.
     """
+    failed = mixdown_problems(clips).select("project_id").distinct()
+    clips, ends = clips.join(failed, "project_id", "left_anti"), ends.join(failed, "project_id", "left_anti")
+    planes = pcm.groupBy("song_id").agg((F.max("channel") == 0).alias("__mono"))
+    onto = F.when(F.col("__mono"), F.array(F.lit(0), F.lit(1))).otherwise(F.array("channel"))
+    pcm = pcm.join(planes, "song_id").withColumn("channel", F.explode(onto)).drop("__mono")
     points = gain_points(clips).groupBy("project_id", "clip_id").agg(
         F.array_sort(F.collect_list(F.struct("point", "time_sec", "value"))).alias("points")  # a few hundred per clip
     )
     size = pcm.groupBy("song_id").agg(F.max(F.size("samples")).alias("size"))
-    plain = clips.filter(F.abs(playback_speed() - 1.0) < 1e-6).withColumn("song_id", F.col("buffer_id")).withColumn("fin", clip_end())
+    plain = clips.withColumn("song_id", F.col("buffer_id")).withColumn("fin", clip_end())
     cells = plain.join(points, ["project_id", "clip_id"]).join(size, "song_id").withColumn(
         "chunk_idx",
         F.explode(F.sequence(F.floor(F.col("trim_start") * rate / F.col("size")), F.floor(F.col("trim_end") * rate / F.col("size")))),
@@ -183,7 +197,7 @@ def mixdown(clips: DataFrame, pcm: DataFrame, ends: DataFrame, rate: int, master
                 y = x * np.interp(t, r.pt, r.pv) * r.master
                 for c in range(first // chunk, (first + len(y) - 1) // chunk + 1):
                     a, b = max(first, c * chunk), min(first + len(y), (c + 1) * chunk)
-                    out.append((r.project_id, r.channel, c, a - c * chunk, y[a - first : b - first], hash(r.clip_id) % salts))
+                    out.append((r.project_id, r.channel, c, a - c * chunk, y[a - first : b - first], crc32(str(r.clip_id).encode()) % salts))
             yield pd.DataFrame(out, columns=["project_id", "channel", "out_chunk", "start", "samples", "salt"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -197,4 +211,14 @@ def mixdown(clips: DataFrame, pcm: DataFrame, ends: DataFrame, rate: int, master
     pieces = rows.mapInPandas(place, schema)
     partial = pieces.groupBy(*keys, "salt").applyInPandas(add, schema)
     summed = partial.groupBy(*keys).applyInPandas(add, schema).drop("salt", "start")
-    return summed.join(ends, "project_id").withColumn("n_samples", F.ceil((F.col("end_sec") + 0.25) * rate)).drop("end_sec")
+    whole = ends.withColumn("n_samples", F.ceil((F.col("end_sec") + 0.25) * rate)).drop("end_sec")
+    channels = summed.groupBy("project_id").agg(F.max("channel").alias("__top"))
+    cells = (
+        whole.join(channels, "project_id", "left")
+        .withColumn("channel", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.coalesce("__top", F.lit(1))))))
+        .withColumn("out_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n_samples") / chunk) - 1)))
+    )
+    room = F.least(F.lit(chunk), F.col("n_samples") - F.col("out_chunk") * chunk).cast("int")
+    heard = F.slice(F.coalesce("samples", F.array().cast("array<double>")), F.lit(1), room)
+    filled = F.concat(heard, F.array_repeat(F.lit(0.0), room - F.size(heard)))
+    return cells.join(summed, keys, "left").select(*keys, filled.alias("samples"), "n_samples")

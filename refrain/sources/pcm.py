@@ -21,25 +21,66 @@ from refrain.schemas import PCM_CHUNK
 CHUNK_SAMPLES = 65536
 
 
+class BadWav(ValueError):
+    """A file that is no WAV this reader knows; the message names why."""
+
+
+def _chunks(data: bytes) -> dict[bytes, bytes]:
+    """First ``fmt `` and ``data`` chunk of a RIFF file, wherever they are."""
+    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        raise BadWav("no RIFF/WAVE header")
+    found: dict[bytes, bytes] = {}
+    at = 12
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        body = data[at + 8 : at + 8 + size]
+        if name == b"fmt " and len(body) < size or name == b"data" and len(body) < size:
+            raise BadWav(f"{name.decode()} chunk is cut short")
+        found.setdefault(name, body)
+        at += 8 + size + size % 2
+    if missing := {b"fmt ", b"data"} - found.keys():
+        raise BadWav(f"no {sorted(missing)[0].decode().strip()} chunk")
+    return found
+
+
 def _wav_samples(data: bytes) -> tuple[int, np.ndarray]:
-    """(rate, samples[frames, channels]) of 16-bit or 32-bit float WAV bytes."""
-    if struct.unpack_from("<H", data, 20)[0] == 3:  # IEEE float, which the wave module refuses
-        channels, rate = struct.unpack_from("<HI", data, 22)
-        body = data.index(b"data")
-        size = struct.unpack_from("<I", data, body + 4)[0]
-        return rate, np.frombuffer(data, "<f4", size // 4, body + 8).reshape(-1, channels)
-    with wave.open(io.BytesIO(data)) as w:
-        raw = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32) / 32768.0
-        return w.getframerate(), raw.reshape(-1, w.getnchannels())
+    """(rate, samples[frames, channels]) of WAV bytes: 8 to 32-bit integers, 32 or 64-bit floats, plain or extensible."""
+    found = _chunks(data)
+    fmt = found[b"fmt "]
+    if len(fmt) < 16:
+        raise BadWav("format chunk is cut short")
+    kind, channels, rate, _, frame, bits = struct.unpack_from("<HHIIHH", fmt)
+    if kind == 0xFFFE and len(fmt) >= 26:  # extensible: the kind is the start of the sub-format
+        kind = struct.unpack_from("<H", fmt, 24)[0]
+    width = bits // 8
+    if not channels or not rate or frame != channels * width:
+        raise BadWav("format chunk contradicts itself")
+    raw = found[b"data"][: len(found[b"data"]) // frame * frame]
+    if kind == 3 and bits in (32, 64):
+        samples = np.frombuffer(raw, f"<f{width}").astype(np.float32)
+    elif kind == 1 and bits == 8:
+        samples = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128.0) / 128.0
+    elif kind == 1 and bits in (16, 32):
+        samples = (np.frombuffer(raw, f"<i{width}") / float(1 << (bits - 1))).astype(np.float32)
+    elif kind == 1 and bits == 24:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        samples = (wide.view("<i4")[:, 0] / float(1 << 31)).astype(np.float32)
+    else:
+        raise BadWav(f"kind {kind} with {bits} bits")
+    return rate, samples.reshape(-1, channels)
 
 
 def decode_wav(files: DataFrame, chunk: int = CHUNK_SAMPLES) -> DataFrame:
-    """Chunks of WAV contents (song_id, content), a few files per batch."""
+    """Chunks of WAV contents (song_id, content), a few files per batch; files that can't be read give none (``wav_rejects``)."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for song, data in zip(batch["song_id"], batch["content"]):
-                rate, pcm = _wav_samples(bytes(data))
+                try:
+                    rate, pcm = _wav_samples(bytes(data))
+                except BadWav:
+                    continue
                 for c in range(pcm.shape[1]):
                     starts = range(0, len(pcm), chunk)
                     yield pd.DataFrame(
@@ -53,7 +94,26 @@ def decode_wav(files: DataFrame, chunk: int = CHUNK_SAMPLES) -> DataFrame:
                         }
                     )
 
-    return files.select("song_id", "content").mapInPandas(decode, PCM_CHUNK)
+    return files.dropna(subset=["content"]).select("song_id", "content").mapInPandas(decode, PCM_CHUNK)
+
+
+def wav_rejects(files: DataFrame) -> DataFrame:
+    """(song_id, reason) of the WAV contents that ``decode_wav`` leaves out."""
+
+    @F.pandas_udf("string")
+    def reason(contents: pd.Series) -> pd.Series:
+        def why(data: bytes | None) -> str | None:
+            if data is None:
+                return "no content"
+            try:
+                _wav_samples(bytes(data))
+            except BadWav as e:
+                return str(e)
+            return None
+
+        return contents.map(why).astype(object)
+
+    return files.select("song_id", reason("content").alias("reason")).filter("reason IS NOT NULL")
 
 
 def read_pcm(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +129,7 @@ def sum_channels(pcm: DataFrame, scale: Column) -> DataFrame:
         F.count(F.lit(1)).alias("channels"),
     )
     added = F.aggregate(
-        F.slice("parts", 2, 64),
+        F.slice("parts", F.lit(2), F.size("parts")),
         F.transform(F.element_at("parts", 1), lambda x: x.cast("double")),
         lambda acc, p: F.zip_with(acc, p, lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b.cast("double"), F.lit(0.0))),
     )
@@ -144,8 +204,8 @@ def fit_length(pcm: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def wav_bytes(channels: list[np.ndarray], rate: int) -> bytes:
-    """16-bit PCM WAV of one or two float channels; rounding ties go up."""
-    planes = np.stack(channels[:2], axis=1).astype(np.float64)
+    """16-bit PCM WAV of the float channels; rounding ties go up."""
+    planes = np.stack(channels, axis=1).astype(np.float64)
     ints = np.floor(np.clip(planes, -1.0, 1.0) * 32767.0 + 0.5).clip(-32768, 32767).astype("<i2")
     out = io.BytesIO()
     with wave.open(out, "wb") as w:

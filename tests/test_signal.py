@@ -1,5 +1,7 @@
 """Signals: chunking must not matter, features equal a plain transform, loops make sense."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from refrain.operators import signal as S
 from refrain.operators.settle import settle
 from refrain.plans import detect as D
 from refrain.plans import song_map as M
+from refrain.schemas import PCM_CHUNK
 from refrain.sources import exports as X
 from refrain.sources import pcm as P
 from tests.signals import aba_song, click, pcm_table
@@ -57,7 +60,7 @@ def test_prepare_equals_plain_slicing(spark):
 @pytest.fixture(scope="module")
 def analysis(spark):
     pcm = settle(pcm_table(spark, {"aba": aba_song(RATE), "click": click(RATE, 100, 30), "quiet": np.zeros(40000)}, RATE))
-    return D.analyse(pcm, RATE)
+    return D.analyse(pcm)
 
 
 def test_tempo_and_beats(analysis):
@@ -109,6 +112,65 @@ def test_mixdown_adds_overlapping_clips(spark):
     cols = "project_id bigint, clip_id string, buffer_id string, start_time double, row int, trim_start double, trim_end double, gain double, fade_in_sec double, fade_out_sec double, speed double"
     clips = spark.createDataFrame([(1, "x", "b", 0.0, 0, 0.0, 2.0, 1.0, 0.0, 0.0, 1.0), (1, "y", "b", 1.0, 1, 0.5, 1.5, 2.0, 0.0, 0.0, 1.0)], cols)
     ends = spark.createDataFrame([(1, 8.0)], "project_id bigint, end_sec double")
-    out = X.mixdown(clips, pcm, ends, RATE, chunk=4000).orderBy("out_chunk").collect()
-    y = np.concatenate([r.samples for r in out])
-    assert y[4000] == pytest.approx(0.25) and y[12000] == pytest.approx(0.75) and out[0].n_samples == 66000
+    out = X.mixdown(clips, pcm, ends, RATE, chunk=4000).orderBy("channel", "out_chunk").collect()
+    y = np.concatenate([r.samples for r in out if r.channel == 0])
+    assert y[4000] == pytest.approx(0.25) and y[12000] == pytest.approx(0.75) and out[0].n_samples == len(y) == 66000
+    assert y[40000:].max() == 0.0 and (np.concatenate([r.samples for r in out if r.channel == 1]) == y).all()
+
+
+def test_mixdown_refuses_projects_that_need_a_stretch(spark):
+    pcm = pcm_table(spark, {"b": np.full(16000, 0.25)}, RATE, 5000)
+    cols = "project_id bigint, clip_id string, buffer_id string, start_time double, row int, trim_start double, trim_end double, gain double, fade_in_sec double, fade_out_sec double, speed double"
+    clips = spark.createDataFrame([(p, c, "b", 0.0, 0, 0.0, 2.0, 1.0, 0.0, 0.0, s) for p, c, s in [(1, "x", 1.0), (2, "y", 1.0), (2, "z", 1.5)]], cols)
+    ends = spark.createDataFrame([(1, 2.0), (2, 2.0)], "project_id bigint, end_sec double")
+    assert [(r.project_id, r.clip_id) for r in X.mixdown_problems(clips).collect()] == [(2, "z")]
+    assert {r.project_id for r in X.mixdown(clips, pcm, ends, RATE).collect()} == {1}
+
+
+def _wav(kind: int, bits: int, body: bytes, channels: int = 1, before: bytes = b"", extensible: bool = False) -> bytes:
+    frame = channels * bits // 8
+    fmt = struct.pack("<HHIIHH", 0xFFFE if extensible else kind, channels, RATE, RATE * frame, frame, bits)
+    if extensible:
+        fmt += struct.pack("<HHI", 22, bits, 0) + struct.pack("<H", kind) + bytes(14)
+    chunk = lambda name, data: name + struct.pack("<I", len(data)) + data + bytes(len(data) % 2)
+    rest = b"WAVE" + before + chunk(b"fmt ", fmt) + chunk(b"LIST", b"data of another chunk") + chunk(b"data", body)
+    return b"RIFF" + struct.pack("<I", len(rest)) + rest
+
+
+def test_wav_kinds_and_rejects(spark):
+    x = np.array([0.0, 0.5, -0.5, 0.25])
+    files = {
+        "u8": _wav(1, 8, (x * 128 + 128).astype(np.uint8).tobytes()),
+        "i16": _wav(1, 16, (x * 2**15).astype("<i2").tobytes(), extensible=True),
+        "i24": _wav(1, 24, b"".join(int(v * 2**23).to_bytes(3, "little", signed=True) for v in x)),
+        "i32": _wav(1, 32, (x * 2**31).astype("<i4").tobytes(), before=b"JUNK\x02\x00\x00\x00\x00\x00"),
+        "f32": _wav(3, 32, x.astype("<f4").tobytes()),
+        "f64": _wav(3, 64, x.astype("<f8").tobytes(), extensible=True),
+        "torn": _wav(1, 16, bytes(8))[:-3],
+        "text": b"no wav at all",
+        "alaw": _wav(6, 8, bytes(4)),
+        "none": None,
+    }
+    table = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in files.items()], "song_id string, content binary")
+    got = {r.song_id: np.array(r.samples) for r in P.decode_wav(table).collect()}
+    assert got.keys() == {"u8", "i16", "i24", "i32", "f32", "f64"} and all(np.allclose(v, x) for v in got.values())
+    assert {r.song_id for r in P.wav_rejects(table).collect()} == {"torn", "text", "alaw", "none"}
+
+
+def test_many_channels(spark):
+    rows = [("a", c, 0, 0, RATE, [1.0, float(c)]) for c in range(70)]
+    mono = P.prepare_mono(spark.createDataFrame(rows, PCM_CHUNK)).first()
+    assert mono.samples == [1.0, 34.5]
+    back = P._wav_samples(P.wav_bytes([np.full(3, c / 10) for c in range(5)], RATE))[1]
+    assert back.shape == (3, 5) and np.allclose(back[0], np.arange(5) / 10, atol=1e-4)
+
+
+def test_sample_rate_of_each_song(spark):
+    """The same 120 bpm clicks at three rates in one table."""
+    tables = [pcm_table(spark, {f"r{rate}": click(rate, 120.0, 24.0)}, rate, rate) for rate in (8000, 22050, 24000)]
+    a = D.analyse(tables[0].union(tables[1]).union(tables[2]))
+    songs = {r.song_id: r for r in a["songs"].collect()}
+    assert len(songs) == 3 and all(r.bpm == pytest.approx(120.0, abs=0.5) and r.duration_sec == pytest.approx(24.0) for r in songs.values())
+    maps = {r.song_id: r for r in M.song_maps(a).collect()}
+    assert {r.sampleRate for r in maps.values()} == {8000, 22050, 24000}
+    assert all(abs(np.diff(r.beatsSec).mean() - 0.5) < 0.01 for r in maps.values())

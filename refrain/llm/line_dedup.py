@@ -82,7 +82,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     none = F.array().cast("array<struct<start:int,stop:int>>")
     theirs = per_document.withColumnsRenamed({"id": "r_id", "text_hash": "r_hash"})
-    joined = rows.join(theirs, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left")
+    # Sorted on either side at every size: whether the runs would fit a broadcast depends on the data.
+    joined = rows.join(theirs.hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left")
     cut = joined.select("id", "text", F.coalesce("runs", none).alias("runs"), _once(_lines(F.col("text"))).alias("lines"))
     froms = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["stop"]))
     tos = F.concat(F.transform("runs", lambda r: r["start"]), F.array(F.size("lines")))

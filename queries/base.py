@@ -136,7 +136,11 @@ keyed AS (
 
 
 def wrap_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").withColumn("k", k_of_props())
+    return wrap_votes_of(read(spark, sf_dir, "events"))
+
+
+def wrap_votes_of(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", k_of_props())
     kind = F.col("event_type")
     return e.select(
         F.col("event_id").alias("seq"),

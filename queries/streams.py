@@ -7,25 +7,30 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from queries.base import VOTES_SQL, Registry, read, votes_of, with_ctes
+from queries.base import Registry, r6, read, votes_of, wrap_votes_of
 from queries.bars import classified, current_votes
-from queries.votes import KEY, ORACLE_TOGGLE
+from queries.votes import ORACLE_TOGGLE, show_records
+from queries.votes import query as vote_queries
 from refrain.operators import suggest as S
 from refrain.operators import votes as V
 from refrain.operators.settle import shared_dir
 from refrain.streaming import votes as W
 
 query = Registry()
+BATCH = vote_queries.oracle
 
 
 def _events_stream(spark, d):
+    """The table as a stream, whether it is one file or a folder of parts."""
     schema = read(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # As a pattern, since a stream takes a single file only from one.
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
 
 
 def _drain(spark, df, mode: str):
-    """Run a stream over everything available into a table and read that table."""
+    """Run a stream over everything available into a table, and read that table with its column ``batch``."""
     root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(f"{root}/out/batch=-1")  # a stream without data runs no batch
     write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/out/batch={i}")
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
@@ -33,20 +38,35 @@ def _drain(spark, df, mode: str):
     return spark.read.schema(with_batch).parquet(f"{root}/out")
 
 
-@query(
-    "stream_latest_ratings",
-    with_ctes(
-        VOTES_SQL,
-        select=f"""
-        SELECT {KEY}, rating FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY seq DESC) AS rn FROM keyed WHERE rating IS NOT NULL)
-        WHERE rn = 1 AND rating <> 'clear'""",
-    ),
-)
+def _state(spark, df, keys):
+    """What a stream of aggregates has reached: only changed keys are written per batch."""
+    return W.newest(_drain(spark, df, "update"), keys)
+
+
+@query("stream_latest_ratings", BATCH["vote_latest_ratings"])
 def stream_latest_ratings(spark, d):
-    out = _drain(spark, V.latest_ratings(votes_of(_events_stream(spark, d))), "complete")
-    # Complete mode rewrites the whole state per batch; the last batch is the current one.
-    last = out.agg(F.max("batch").alias("batch"))
-    return out.join(F.broadcast(last), "batch").drop("batch")  # one row
+    return _state(spark, V.rating_state(votes_of(_events_stream(spark, d))), V.CUT).filter("rating <> 'clear'")
+
+
+@query("stream_latest_notes", BATCH["vote_latest_notes"])
+def stream_latest_notes(spark, d):
+    return _state(spark, V.latest_notes(votes_of(_events_stream(spark, d))), V.CUT)
+
+
+@query("stream_latest_tags", BATCH["vote_latest_tags"])
+def stream_latest_tags(spark, d):
+    return _state(spark, V.latest_tags(votes_of(_events_stream(spark, d))), V.CUT).withColumn("tags", F.concat_ws(",", "tags"))
+
+
+@query("stream_latest_records", BATCH["vote_latest_records"])
+def stream_latest_records(spark, d):
+    return show_records(_state(spark, V.latest_records(votes_of(_events_stream(spark, d))), V.CUT), V.CUT)
+
+
+@query("stream_latest_wraps", BATCH["vote_latest_wraps"])
+def stream_latest_wraps(spark, d):
+    w = _state(spark, V.wrap_state(wrap_votes_of(_events_stream(spark, d))), V.WRAP).filter("rating <> 'clear'")
+    return w.withColumns({"exit_sec": r6(F.col("exit_sec")), "entry_sec": r6(F.col("entry_sec"))})
 
 
 @query("stream_toggle_clicks", ORACLE_TOGGLE)
@@ -81,11 +101,11 @@ def stream_coalesce_batch(spark, d):
     return W.coalesce_bursts(e, "user_id", "bigint", 14_400_000, 43_200_000)
 
 
-@query("stream_coalesce_live")
+@query("stream_coalesce_live", _BURSTS)
 def stream_coalesce_live(spark, d):
-    """The streaming form; bursts still open at the end of the stream are not saved yet."""
+    """The streaming form, with the bursts that are open at the end."""
     e = _events_stream(spark, d).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return _drain(spark, W.coalesce_stream(e, "user_id", "bigint", 14_400_000, 43_200_000), "append").drop("batch")
+    return W.newest(_drain(spark, W.coalesce_stream(e, "user_id", "bigint", 14_400_000, 43_200_000), "update"), ["user_id", "first_ms"])
 
 
 @query("stream_rerank_touched")
@@ -96,4 +116,4 @@ def stream_rerank_touched(spark, d):
     step = W.rerank_touched(classified(spark, d), lambda: current_votes(spark, d), S.rank_suggestions, f"{root}/out")
     q = incoming.writeStream.option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).foreachBatch(step).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out").drop("batch")
+    return W.newest(spark.read.parquet(f"{root}/out"), ["song_id"])

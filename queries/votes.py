@@ -112,7 +112,7 @@ def _merged_sql(keys: str, source: str) -> str:
           row_number() OVER (PARTITION BY {keys} ORDER BY seq) AS rn FROM {source}) WHERE rn = 1"""
 
 
-def _show(df, keys):
+def show_records(df, keys):
     cols = [r6(F.col(c)).alias(c) if c in _FLOATS else F.col(c) for c in _FIELDS]
     tags = F.when(F.col("tags").isNotNull(), F.concat_ws(",", "tags")).alias("tags")
     return df.select(*keys, "first_seq", F.col("at").alias("voted_at"), *cols, tags)
@@ -120,7 +120,7 @@ def _show(df, keys):
 
 @query("vote_latest_records", with_ctes(VOTES_SQL, select=_merged_sql(KEY, "keyed")))
 def vote_latest_records(spark, d):
-    return _show(V.latest_records(votes(spark, d)), V.CUT)
+    return show_records(V.latest_records(votes(spark, d)), V.CUT)
 
 
 _RENDER_CTE = f"""
@@ -136,7 +136,7 @@ rendered AS (
     with_ctes(VOTES_SQL, _RENDER_CTE, select=_merged_sql(KEY + ", fade_key, normalize_key", "rendered")),
 )
 def vote_latest_rendered(spark, d):
-    return _show(V.latest_rendered(votes(spark, d)), [*V.CUT, "fade_key", "normalize_key"])
+    return show_records(V.latest_rendered(votes(spark, d)), [*V.CUT, "fade_key", "normalize_key"])
 
 
 @query(

@@ -10,20 +10,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
+_open_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The configured shared folder; a local session without one (tests) gets its own."""
     configured = spark.conf.get(_KEY, None)
-    if configured:
+    local = spark.conf.get("spark.master", "").startswith("local")
+    if configured and (local or "://" in configured):
         return configured
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError(f"set {_KEY} to a folder every executor can reach")
+    if not local:
+        raise RuntimeError(f"set {_KEY} to the uri (scheme://...) of a folder every executor can reach")
     app = spark.conf.get("spark.app.id", "local")
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="refrain-")
@@ -34,5 +38,22 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a reader of the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/refrain/{uuid.uuid4().hex}"
+    for paths in _open_scopes:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables settled inside the block when it ends; results that read them must be written before."""
+    paths: list[str] = []
+    _open_scopes.append(paths)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(paths)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            at = hadoop(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -46,10 +46,15 @@ def _last(name: str, order: str = "seq") -> Column:
     return F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias(name)
 
 
-def latest_ratings(votes: DataFrame) -> DataFrame:
-    """Current good/bad per cut; a clear removes it, note-only lines do not count."""
+def rating_state(votes: DataFrame) -> DataFrame:
+    """Last rating per cut, clears included; note-only lines do not count."""
     rated = with_cut_key(votes).filter(F.col("rating").isNotNull())
-    return rated.groupBy(*CUT).agg(F.max_by("rating", "seq").alias("rating")).filter(F.col("rating") != "clear")
+    return rated.groupBy(*CUT).agg(F.max_by("rating", "seq").alias("rating"))
+
+
+def latest_ratings(votes: DataFrame) -> DataFrame:
+    """Current good/bad per cut; a clear removes it."""
+    return rating_state(votes).filter(F.col("rating") != "clear")
 
 
 def latest_notes(votes: DataFrame) -> DataFrame:
@@ -106,17 +111,21 @@ def musical_blends(votes: DataFrame) -> DataFrame:
     return latest_rendered(votes).filter(F.coalesce("wrap_crossfade_sec", F.lit(0.0)) > MUSICAL_BLEND_SEC)
 
 
-def latest_wraps(wrap_votes: DataFrame) -> DataFrame:
-    """Current decision per wrap; a clear removes it."""
+def wrap_state(wrap_votes: DataFrame) -> DataFrame:
+    """Last decision per wrap, clears included."""
     return (
         with_wrap_key(wrap_votes)
         .groupBy(*WRAP)
         .agg(F.max_by(F.struct("exit_sec", "entry_sec", "rating", "seq"), "seq").alias("v"))
         .select(*WRAP, "v.exit_sec", "v.entry_sec", "v.rating", "v.seq")
-        .filter(F.col("rating") != "clear")
     )
 
 
+def latest_wraps(wrap_votes: DataFrame) -> DataFrame:
+    """Current decision per wrap; a clear removes it."""
+    return wrap_state(wrap_votes).filter(F.col("rating") != "clear")
+
+
 def latest_pack_votes(pack_votes: DataFrame) -> DataFrame:
     """Current decision per join of the older log, which has no clear and ignores natural switches."""
     usable = pack_votes.filter(

@@ -101,35 +101,39 @@ def coalesce_bursts(edits: DataFrame, key: str, key_type: str, idle_ms: int = 50
     return whole.unionByName(rest.groupBy(key, "run").applyInPandas(split, f"{key} {key_type}, {_BURST}"))
 
 
-def coalesce_stream(
-    edits: DataFrame, key: str, key_type: str, idle_ms: int = 500, deadline_ms: int = 2000, lateness: str = "1 second"
-) -> DataFrame:
-    """Streaming twin of ``coalesce_bursts`` over (key, ts): a save closes when the watermark passes its due time."""
+def coalesce_stream(edits: DataFrame, key: str, key_type: str, idle_ms: int = 500, deadline_ms: int = 2000) -> DataFrame:
+    """Streaming twin of ``coalesce_bursts`` over (key, ts), in update mode: every burst as it stands after a batch.
+
+    A burst is known by (key, first_ms); its newest row (:func:`newest`) is the save that will
+    be, or was, made at ``saved_ms``.  Nothing is dropped: an edit that arrives late counts for
+    the burst that is open then.  The state is one row per key.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending = state.get if state.exists else None
-        times = [] if state.hasTimedOut else sorted(int(t) for b in batches for t in b["at_ms"])
-        closed, pending = _bursts(times, idle_ms, deadline_ms, pending)
+        times = sorted(int(t) for b in batches for t in b["at_ms"])
         if pending:
-            due = min(pending[1] + idle_ms, pending[0] + deadline_ms)
-            if state.hasTimedOut or due < state.getCurrentWatermarkMs():
-                closed.append((*pending, due))
-                pending = None
+            times = [max(t, pending[1]) for t in times]
+        bursts, pending = _bursts(times, idle_ms, deadline_ms, pending)
         if pending:
             state.update(pending)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        out = pd.DataFrame(closed, columns=["first_ms", "last_ms", "edits", "saved_ms"])
+            bursts.append((*pending, min(pending[1] + idle_ms, pending[0] + deadline_ms)))
+        out = pd.DataFrame(bursts, columns=["first_ms", "last_ms", "edits", "saved_ms"])
         out.insert(0, key, k[0])
         yield out
 
-    timed = edits.withWatermark("ts", lateness).withColumn("at_ms", F.unix_millis("ts"))
+    timed = edits.withColumn("at_ms", F.unix_millis("ts"))
     return timed.groupBy(key).applyInPandasWithState(
-        step, f"{key} {key_type}, {_BURST}", "first_ms bigint, last_ms bigint, edits bigint", "append", GroupStateTimeout.EventTimeTimeout
+        step, f"{key} {key_type}, {_BURST}", "first_ms bigint, last_ms bigint, edits bigint", "update", GroupStateTimeout.NoTimeout
     )
 
 
+def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of update-mode output with a column ``batch``, the rows of each key's newest batch, without ``batch``."""
+    last = updates.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return updates.join(last, [*keys, "batch"], "left_semi").drop("batch")
+
+
 def rerank_touched(
     bars: DataFrame, votes_table: Callable[[], DataFrame], rank: Callable[[DataFrame, DataFrame], DataFrame], out_path: str
 ) -> Callable[[DataFrame, int], None]:
@@ -137,6 +141,7 @@ def rerank_touched(
 
     ``votes_table()`` returns the current decisions including this batch (song_id, ...);
     each batch is one partition of ``out_path``, so a retried batch replaces its own output.
+    A song ranked by several batches has rows in each; readers take :func:`newest` by song.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:

@@ -467,15 +467,17 @@ kept AS (SELECT song_id, k.id AS cand_id, k.slot AS slot, k.bars AS bars, k.s AS
 """
 
 
-def line_candidates(spark, d):
-    li = read(spark, d, "lineitem")
+def line_candidates(spark, d, li=None, song=None, cand=None, start=None, longer=None):
+    li = read(spark, d, "lineitem") if li is None else li
     bars = F.element_at(F.array(*[F.lit(b) for b in (1, 2, 4, 8, 16)]), F.col("l_linenumber") % 5 + 1)
+    start = F.col("l_quantity") if start is None else start
+    length = bars * 2.0 if longer is None else bars * 2.0 + longer
     return li.select(
-        F.col("l_orderkey").alias("song_id"),
-        (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("cand_id"),
+        (F.col("l_orderkey") if song is None else song).alias("song_id"),
+        (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber") if cand is None else cand).alias("cand_id"),
         bars.alias("bars"),
-        F.col("l_quantity").alias("start_sec"),
-        (F.col("l_quantity") + bars * 2.0).alias("end_sec"),
+        start.alias("start_sec"),
+        (start + length).alias("end_sec"),
         (F.col("l_discount") * 10.0).alias("seam_score"),
         (F.col("l_extendedprice") / 110000.0).alias("quality_score"),
         (F.col("l_tax") * 12.0).alias("context_score"),
@@ -491,6 +493,37 @@ def loop_suppress_duplicates(spark, d):
     return K.suppress_near_duplicates(line_candidates(spark, d)).select("song_id", "cand_id", "bars")
 
 
+# Loops of one length that differ a little in duration, many per song, often starting where another ends.
+_VARYING = _CANDS.replace("l_orderkey AS song_id", "l_orderkey // 160 AS song_id").replace(
+    "l_quantity AS start_sec", "floor(l_quantity / 2) * 8.0::DOUBLE AS start_sec"
+).replace(
+    "l_quantity + [1,2,4,8,16][l_linenumber % 5 + 1] * 2.0::DOUBLE AS end_sec",
+    "floor(l_quantity / 2) * 8.0::DOUBLE + ([1,2,4,8,16][l_linenumber % 5 + 1] * 2.0::DOUBLE + (l_partkey % 7) * 0.05::DOUBLE) AS end_sec",
+).replace("l_partkey * 1000000 + l_suppkey * 100 + l_linenumber", "l_orderkey * 100 + l_linenumber")
+
+
+def varying_candidates(spark, d):
+    li = read(spark, d, "lineitem")
+    start = F.floor(F.col("l_quantity") / 2) * 8.0
+    return line_candidates(spark, d, li, F.floor(F.col("l_orderkey") / 160).cast("bigint"), F.col("l_orderkey") * 100 + F.col("l_linenumber"), start, (F.col("l_partkey") % 7) * 0.05)
+
+
+@query("loop_suppress_varying", _recursive(_VARYING, _FOLD, select="SELECT song_id, cand_id, bars FROM kept"))
+def loop_suppress_varying(spark, d):
+    return K.suppress_near_duplicates(varying_candidates(spark, d)).select("song_id", "cand_id", "bars")
+
+
+@query(
+    "loop_suppress_keep",
+    _recursive(_VARYING, _FOLD.replace("c.rn = f.rn + 1)", "c.rn = f.rn + 1 WHERE len(f.acc) < 6)").replace(
+        "(SELECT song_id, max(rn) AS n FROM ro GROUP BY 1)", "(SELECT song_id, max(rn) AS n FROM fold GROUP BY 1)"
+    ), select="SELECT song_id, cand_id, bars FROM kept"),
+)
+def loop_suppress_keep(spark, d):
+    """The first six loops of each song."""
+    return K.suppress_near_duplicates(varying_candidates(spark, d), keep=6).select("song_id", "cand_id", "bars")
+
+
 _SELECT = """
 lst AS (SELECT *, row_number() OVER (PARTITION BY song_id, bars ORDER BY slot) AS pos, min(slot) OVER (PARTITION BY song_id, bars) AS list_slot,
     max(end_sec) OVER (PARTITION BY song_id, bars) AS last_end, row_number() OVER (PARTITION BY song_id, bars ORDER BY start_sec, slot) AS early FROM kept),

@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 _TOTAL_BITS = 24
 _DIGIT = 16
 #: Low and range lie in a window of three digits; the range is kept above one third of it in bits.
@@ -40,7 +40,7 @@ _ALL_FIELDS = sum(((1 << (20 - _RATE)) - 1) << (_FIELD * k) for k in range(3))
 _GAIN = np.array([(_MOST >> _RATE) << (_FIELD * k) for k in range(3)] + [0], np.int64)
 _LEAST = 512
 #: Most lanes worked on at once; each holds about 5 KB of model.
-LANES = 2048
+LANES = 4096
 
 
 class _Model:

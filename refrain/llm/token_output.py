@@ -1,7 +1,7 @@
 """Token ids as range-coded binary files, and their reader.
 
 Documents are range-partitioned and sorted by id, encoded, and written as segments of whole
-documents: one row per segment with the documents' ids and lengths, and blocks of 4,096 ids
+documents: one row per segment with the documents' ids and lengths, and blocks of 2,048 ids
 that are coded and checksummed each on its own (``range_coder``).  The container is Parquet,
 so Spark's commit protocol covers lost executors and repeated tasks.
 """

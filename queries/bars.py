@@ -19,6 +19,7 @@ from queries.base import (
 from refrain.operators import bars as B
 from refrain.operators import suggest as S
 from refrain.operators import votes as V
+from refrain.operators.settle import settle
 
 query = Registry()
 
@@ -123,7 +124,7 @@ def loops(spark, d):
 )
 def bars_locate_points(spark, d):
     b = layer_bars(spark, d)
-    p = B.bar_at(B.bar_at(loops(spark, d), b, "start_sec", "start_bar"), b, "end_sec", "end_bar")
+    p = B.bars_at(loops(spark, d), b, {"start_bar": "start_sec", "end_bar": "end_sec"})
     return p.select("song_id", "loop_id", "start_bar", "end_bar")
 
 
@@ -143,10 +144,10 @@ def bars_locate_points(spark, d):
     ),
 )
 def bars_longest_quiet_run(spark, d):
-    b = classified(spark, d)
-    p = B.bar_at(B.bar_at(loops(spark, d), b, "start_sec", "from_bar"), b, "end_sec", "to_bar")
+    b = settle(classified(spark, d))
+    p = B.bars_at(loops(spark, d), b, {"from_bar": "start_sec", "to_bar": "end_sec"})
     ranges = p.filter("from_bar >= 0 AND to_bar >= 0").withColumnRenamed("loop_id", "range_id")
-    out = B.longest_quiet_run(b, ranges)
+    out = B.longest_quiet_run(b, settle(ranges))
     return out.select("song_id", F.col("range_id").alias("loop_id"), F.col("longest").cast("int").alias("longest"))
 
 

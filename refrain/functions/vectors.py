@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,9 +19,14 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def l2_normalize(a: Column) -> Column:
     norm = F.coalesce(F.nullif(F.sqrt(dot(a, a)), F.lit(0.0)), F.lit(1.0))
-    return F.transform(a, lambda x: x / norm)
+    return bound(norm, lambda n: F.transform(a, lambda x: x / n))
 
 
 def cosine_unit(a: Column, b: Column) -> Column:
@@ -48,9 +54,14 @@ def frame_vibe_sim(f: Column, g: Column) -> Column:
     spectrum = cosine(f["spec"], g["spec"])
     energy = ratio_sim(f["rms"], g["rms"])
     bright = 1.0 - F.least(F.lit(1.0), F.abs(f["centroid"] - g["centroid"]) / 0.2)
-    worst = F.least(harmony, timbre, spectrum, energy)
-    mean = (harmony + timbre + spectrum + energy + bright) / 5.0
-    return clamp01(worst * 0.55 + mean * 0.45)
+    parts = {"h": harmony, "t": timbre, "s": spectrum, "e": energy, "b": bright}
+
+    def mixed(p: Column) -> Column:
+        worst = F.least(p["h"], p["t"], p["s"], p["e"])
+        mean = (p["h"] + p["t"] + p["s"] + p["e"] + p["b"]) / 5.0
+        return clamp01(worst * 0.55 + mean * 0.45)
+
+    return bound(F.struct(*[c.alias(n) for n, c in parts.items()]), mixed)
 
 
 def spec_distance(a: Column, b: Column, rms_a: Column, rms_b: Column) -> Column:
@@ -66,18 +77,7 @@ def band_delta(a: Column, b: Column) -> Column:
     return total(deltas) / F.greatest(F.lit(1.0), total(weights))
 
 
-def pearson_from_moments(n: Column, sa: Column, sb: Column, saa: Column, sbb: Column, sab: Column) -> Column:
-    """Correlation of two contours from their sums; null when too short or too flat to compare."""
-    ma, mb = sa / n, sb / n
-    da, db = saa - n * ma * ma, sbb - n * mb * mb
-    depth = F.greatest(F.sqrt(F.greatest(da, F.lit(0.0)) / n), F.sqrt(F.greatest(db, F.lit(0.0)) / n)) / F.greatest(
-        ma, mb, F.lit(1e-8)
-    )
-    usable = (n >= 4) & (da >= 1e-8) & (db >= 1e-8) & (depth >= 0.04)
-    return F.when(usable, (sab - n * ma * mb) / F.sqrt(da * db))
-
-
 __all__ = [
-    "band_delta", "clamp", "cosine", "cosine_unit", "dot", "frame_vibe_sim", "l2_normalize",
-    "pearson_from_moments", "ratio_sim", "spec_distance", "total",
+    "band_delta", "bound", "clamp", "cosine", "cosine_unit", "dot", "frame_vibe_sim", "l2_normalize",
+    "ratio_sim", "spec_distance", "total",
 ]

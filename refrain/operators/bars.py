@@ -146,6 +146,17 @@ def bar_at(points: DataFrame, bars: DataFrame, time: str, name: str = "bar_idx")
     return found.withColumn(name, F.when(inside, F.col("__bar.bar_idx")).otherwise(F.lit(-1))).drop("__bar")
 
 
+def bars_at(points: DataFrame, bars: DataFrame, times: dict[str, str]) -> DataFrame:
+    """``bar_at`` for several times of a point (name: time column); ``bars`` should be a stored table.
+
+    A scan reads its input twice, so the points are written between two of them: the plan
+    grows with the number of times and not with its power.
+    """
+    for i, (name, time) in enumerate(times.items()):
+        points = bar_at(points if i == 0 else settle(points), bars, time, name)
+    return points
+
+
 def loop_warnings(loops: DataFrame, bars: DataFrame) -> DataFrame:
     """Why a loop may disappoint, as (id, seconds): short, back into the intro or a quiet part, or quiet inside.
 
@@ -166,7 +177,7 @@ def loop_warnings(loops: DataFrame, bars: DataFrame) -> DataFrame:
         .select("song_id", F.col("start_sec").alias("__intro_sec"))
     )
     totals = bars.groupBy(*SONG).agg(F.sum(duration).alias("__all"))
-    placed = bar_at(bar_at(loops, bars, "start_sec", "start_bar"), bars, "end_sec", "end_bar")
+    placed = bars_at(loops, bars, {"start_bar": "start_sec", "end_bar": "end_sec"})
     joined = (
         placed.join(at_start, ["song_id", "start_bar"], "left")
         .join(at_end, ["song_id", "end_bar"], "left")

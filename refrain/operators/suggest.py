@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refrain.operators.bars import MIN_LOOP_SEC, POINT_SLACK_SEC, bar_at, bar_profile
+from refrain.operators.bars import MIN_LOOP_SEC, POINT_SLACK_SEC, bars_at, bar_profile
 from refrain.operators.ordered import BLOCK_ROWS, asof, block_of, scan, top_per_key, top_per_key_tiled
 from refrain.operators.settle import settle
 
@@ -96,7 +96,7 @@ def _positions(exits: DataFrame, bars: DataFrame, min_loop: float) -> DataFrame:
         exits, bars, SONG, F.col("exit_sec") - min_loop + 1e-9, F.col("start_sec"), ["bar_idx"], before="__near"
     )
     far = asof(
-        near, bars, SONG, F.col("exit_sec") - max(FULL_LENGTH_SEC, min_loop), F.col("start_sec"), ["bar_idx"], before="__far"
+        settle(near), bars, SONG, F.col("exit_sec") - max(FULL_LENGTH_SEC, min_loop), F.col("start_sec"), ["bar_idx"], before="__far"
     )
     return far.withColumns(
         {
@@ -193,7 +193,7 @@ def _off_grid(votes: DataFrame, profile: DataFrame, min_loop: float) -> DataFram
     """Good votes between bar lines that would be acceptable wraps and that no bad vote disputes."""
     good = prior_match(votes.filter(F.col("rating") == "good"), votes).filter(F.col("prior") == "good")
     lines = profile.select("song_id", "bar_idx", "start_sec", "end_sec")
-    placed = bar_at(bar_at(good, lines, "exit_sec", "x"), lines, "entry_sec", "e")
+    placed = bars_at(good, lines, {"x": "exit_sec", "e": "entry_sec"})
     # Acceptance asks for bar 2 or later as exit; only listed bar pairs start two bars after the intro.
     x_ok = F.col("exit_late").isNotNull() & (F.col("bar_idx") >= 2)
     quiet = F.col("quiet_before").cast("bigint") * F.lit(int(_UNIT / 10)).cast("bigint")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions.exact import fixed_text, fixed_units
 from refrain.operators.ordered import BLOCK_SEQ, block_of, scan
+from refrain.operators.settle import settle
 
 CUT = ["source_name", "bars", "start_units", "end_units"]
 WRAP = ["source_name", "exit_units", "entry_units"]
@@ -175,7 +176,7 @@ def toggle_votes(clicks: DataFrame, keys: list[str], value: str = "rating", bloc
     block = block_of(F.col("seq"), block_rows)
     ordered = scan(clicks, keys, block, ["seq"], before={"__idx": F.lit(1)}, previous={"__prev": F.col(value)})
     starts = F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col(value)), F.col("__idx"))
-    runs = scan(ordered, keys, block, ["seq"], latest={"__run": starts})
+    runs = scan(settle(ordered), keys, block, ["seq"], latest={"__run": starts})
     odd = (F.col("__idx") - F.col("__run")) % 2 == 0
     return runs.withColumn("emitted", F.when(odd, F.col(value)).otherwise(F.lit("clear"))).drop(
         "__idx", "__prev", "__run"

@@ -152,8 +152,11 @@ def classify_quality(
     features = settle(rows.mapInArrow(_featured, schema))
 
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
-    sample = features.join(marked, "id").orderBy(F.xxhash64("id"), "label").limit(fit_rows).select("label", *FEATURES).collect()
-    data = np.array(sample, np.float64).reshape(-1, len(FEATURES) + 1)
+    labelled = settle(features.join(marked, "id").select(F.xxhash64("id", "label").alias("order"), "label", *FEATURES))
+    # A little more than the share of rows that is wanted, by hash; the rest is cut after sorting.
+    share = min(1.0, 1.1 * fit_rows / max(labelled.count(), 1))
+    drawn = labelled.where(F.shiftrightunsigned("order", 11) <= F.lit(int(share * (1 << 53)))).collect()
+    data = np.array(sorted(drawn)[:fit_rows], np.float64).reshape(-1, len(FEATURES) + 2)[:, 1:]
     model = fit_logistic(data[:, 1:], data[:, 0])
 
     scored = features.select("id", "site", "section", model.log_odds().alias("evidence")).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))

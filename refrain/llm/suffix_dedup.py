@@ -124,7 +124,7 @@ class _Page:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at, first = np.unique(np.concatenate(found), return_index=True)
-        return at, np.concatenate(hashes)[first]
+        return at, _finish(np.concatenate(hashes)[first])  # selected hashes are small ones; mixed again they fill all buckets alike
 
     def _inside(self, a: int, b: int) -> tuple[list[int], list[int]]:
         """Where strings that start in [a, b) end within their document, relative to a."""

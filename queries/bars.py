@@ -285,7 +285,10 @@ FROM pick p JOIN ord o ON o.song_id = p.song_id AND o.rn = p.rn WHERE p.taken
 
 
 def _suggestions(spark, d, drop):
-    out = S.rank_suggestions(classified(spark, d, drop), current_votes(spark, d))
+    return show_suggestions(S.rank_suggestions(classified(spark, d, drop), current_votes(spark, d)))
+
+
+def show_suggestions(out):
     return out.withColumns({c: r9(F.col(c)) for c in ("start_sec", "end_sec", "p_good", "score")})
 
 

@@ -233,7 +233,15 @@ def pcm_wav_roundtrip(spark, d):
     )
 
 
-@query("render_loops")
+@query(
+    "render_loops",
+    with_ctes(
+        PCM_SQL,
+        "rl AS (SELECT song_id, n, unnest(range(0, 4)) AS k FROM len)",
+        "rs AS (SELECT *, CAST(floor(n / 8000.0::DOUBLE * k / 4 * 8000.0::DOUBLE + 0.5) AS BIGINT) AS a, CAST(floor(n / 8000.0::DOUBLE * (k + 1) / 4 * 8000.0::DOUBLE + 0.5) AS BIGINT) AS b FROM rl)",
+        select="SELECT song_id, k::VARCHAR AS cand_id, least(n, greatest(a + 1, b)) - a AS sample_count, CAST(44 + 2 * (least(n, greatest(a + 1, b)) - a) AS INT) AS bytes FROM rs",
+    ),
+)
 def render_loops(spark, d):
     p = text_pcm(spark, d)
     n = P.song_lengths(p)
@@ -245,7 +253,8 @@ def render_loops(spark, d):
     return X.render_loops(loops, p, n).select("song_id", "cand_id", "sample_count", F.length("content").alias("bytes"))
 
 
-@query("align_offsets")
+# The encoded signal is the original, eight samples late.
+@query("align_offsets", with_ctes(PCM_SQL, select="SELECT song_id, 8 / 8000.0::DOUBLE AS offset_sec, 0.0::DOUBLE AS spread_sec FROM len"))
 def align_offsets(spark, d):
     p = text_pcm(spark, d)
     # The whole signal delayed by eight samples: each chunk starts with the last eight of the one before.

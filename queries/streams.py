@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from queries.base import Registry, r6, read, votes_of, wrap_votes_of
-from queries.bars import classified, current_votes
+from queries.bars import classified, current_votes, show_suggestions
+from queries.bars import query as bar_queries
 from queries.votes import ORACLE_TOGGLE, show_records
 from queries.votes import query as vote_queries
 from refrain.operators import suggest as S
@@ -108,7 +109,8 @@ def stream_coalesce_live(spark, d):
     return W.newest(_drain(spark, W.coalesce_stream(e, "user_id", "bigint", 14_400_000, 43_200_000), "update"), ["user_id", "first_ms"])
 
 
-@query("stream_rerank_touched")
+# Every song of the table gets a vote, so all are ranked again.
+@query("stream_rerank_touched", bar_queries.oracle["wrap_suggestions"])
 def stream_rerank_touched(spark, d):
     """New votes arrive as a stream; only songs that got one are ranked again."""
     root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
@@ -116,4 +118,4 @@ def stream_rerank_touched(spark, d):
     step = W.rerank_touched(classified(spark, d), lambda: current_votes(spark, d), S.rank_suggestions, f"{root}/out")
     q = incoming.writeStream.option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).foreachBatch(step).start()
     q.awaitTermination()
-    return W.newest(spark.read.parquet(f"{root}/out"), ["song_id"])
+    return show_suggestions(W.newest(spark.read.parquet(f"{root}/out"), ["song_id"]))

@@ -158,13 +158,13 @@ def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         digits[filled] = low >> _TOP
         filled += 1
         low = (low & _MASK) << _SHIFT
-    digits = digits.reshape(lanes, width)
+    digits = np.ascontiguousarray(digits.reshape(lanes, width).T)
     carry = np.zeros(lanes, np.uint32)
-    for column in range(width - 1, -1, -1):
-        carry += digits[:, column]
-        digits[:, column] = carry & 0xFFFF
+    for place in range(width - 1, -1, -1):
+        carry += digits[place]
+        digits[place] = carry & 0xFFFF
         carry >>= 16
-    words = digits.astype(">u2")
+    words = np.ascontiguousarray(digits.astype(">u2").T)
     used = filled - np.arange(lanes) * width
     return [words[i, : used[i]].tobytes() if lengths[i] else b"" for i in range(lanes)]
 

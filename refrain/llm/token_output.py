@@ -8,6 +8,7 @@ so Spark's commit protocol covers lost executors and repeated tasks.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -90,17 +91,33 @@ class CachedTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > self.MOST:
             self.cache = {"": b""}
-        get = self.cache.get
-        pieces = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(get, p)) for p in pieces]
-        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
-        missing = {p[i] for p, g in zip(pieces, gaps, strict=True) for i in g}
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small objects and no cycles: collections would only walk the cache
+        try:
+            return [np.frombuffer(raw, self.dtype) for raw in self._encode(texts)]
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        get, out, open_texts, missing = self.cache.get, [], [], set()
+        for k, text in enumerate(texts):  # text by text, while its pieces are still in the processor's cache
+            pieces = _lowered(text).replace("\n", " ").split(" ")
+            found = list(map(get, pieces))
+            if None in found:
+                gaps = [i for i, ids in enumerate(found) if ids is None]
+                missing.update([pieces[i] for i in gaps])
+                open_texts.append((k, found, gaps, [pieces[i] for i in gaps]))
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
         if missing:
             self._learn(missing)
-            for p, f, g in zip(pieces, found, gaps, strict=True):
-                for i in g:
-                    f[i] = get(p[i])
-        return [np.frombuffer(b"".join(f), self.dtype) for f in found]
+            for k, found, gaps, pieces in open_texts:
+                for i, piece in zip(gaps, pieces, strict=True):
+                    found[i] = get(piece)
+                out[k] = b"".join(found)
+        return out
 
 
 def _lowered(text: str) -> str:

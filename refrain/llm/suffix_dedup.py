@@ -77,7 +77,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = sorted(zip((_NULL_ID if i is None else i for i in b.column("id").to_pylist()), b.column("text").to_pylist(), strict=True))
         held, size = [], 0
         for k, (i, text) in enumerate(docs):
-            raw = (text or "").encode()
+            raw = text.encode()
             held.append((i, raw))
             size += len(raw)
             if size >= PAGE_BYTES or k == len(docs) - 1:
@@ -518,7 +518,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     bounded_batches(spark)
     bits = P.bucket_bits(spark)
-    pages = _settle_pages(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    pages = _settle_pages(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
 
     grams = settle(P.by_bucket(pages.mapInArrow(_ask_grams(bits), P.REQUEST), _repeated_grams, _ARROW_REQUEST, P.REQUEST))
     P.drop_shuffles(spark)

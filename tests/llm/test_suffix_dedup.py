@@ -75,3 +75,10 @@ def test_samples_in_slices(monkeypatch):
     monkeypatch.setattr(S, "_SLICE", 333)
     parts = S._Page(row).samples()
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_repeated_ids_with_null_texts(spark):
+    """Rows of one id, or without one, in one batch, some of them without a text."""
+    text = prose(random.Random(2), 40, 9000)
+    texts = [(1, None), (1, text), (1, None), (None, text), (None, None), (None, ""), (2, text)]
+    assert got(S.repeated_strings(documents(spark, texts).coalesce(1))) == brute(texts)

@@ -26,7 +26,7 @@ TOPICS = 8
 TEMPERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 #: Tokens wanted, of all present.
 BUDGET = 0.5
-TOLERANCE = 1e-5
+TOLERANCE = 1e-6
 MOST_CYCLES = 30
 
 
@@ -52,7 +52,7 @@ def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFram
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float = BUDGET, tolerance: float = TOLERANCE, cycles: int = MOST_CYCLES) -> DataFrame:
-    """``cells`` with ``weight`` (wanted tokens) and ``probability``; stops when no marginal is off by more than ``tolerance``, or gets no nearer.
+    """``cells`` with ``weight`` (wanted tokens) and ``probability``; stops when a cycle changes no cell's weight by more than ``tolerance`` of it.
 
     ``cells`` has the dimensions and ``tokens``.  ``targets`` has (value, share) for each
     dimension; values without a share, and cells without tokens, want nothing.  Weights never
@@ -67,22 +67,19 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float = BUD
         now = now.join(share, dimension, "left")
     now = settle(now.fillna(0.0, [f"share_{d}" for d in targets]))
     kept = now.columns
-    before = None
     for _ in range(cycles if total else 0):
-        off, step = F.lit(0.0), now
+        step = now.withColumn("before", F.col("weight"))
         for dimension in targets:
             had = step.groupBy(dimension).agg(F.sum("weight").alias("had"))
             scale = F.when(F.col("had") > 0, F.col(f"share_{dimension}") * wanted / F.col("had")).otherwise(0.0)
-            step = step.join(had, dimension).withColumn("scale", scale)
-            step = step.withColumns({"weight": F.col("weight") * F.col("scale"), f"off_{dimension}": F.abs(F.col("scale") - 1)}).drop("scale", "had")
-            off = F.greatest(off, F.when(F.col("weight") > 0, F.col(f"off_{dimension}")).otherwise(0.0))
-        step = step.withColumn("off", off).withColumn("weight", F.least("weight", F.col("tokens").cast("double")))
-        now = settle(step.select(*kept, "off"))
-        worst = now.agg(F.max("off")).first()[0]
+            step = step.join(had, dimension).withColumn("weight", F.col("weight") * scale).drop("had")
+        step = step.withColumn("weight", F.least("weight", F.col("tokens").cast("double")))
+        moved = F.when(F.col("before") > 0, F.abs(F.col("weight") / F.col("before") - 1)).otherwise(0.0)
+        now = settle(step.select(*kept, moved.alias("moved")))
+        most = now.agg(F.max("moved")).first()[0]
         now = now.select(*kept)
-        if worst <= tolerance or before is not None and abs(before - worst) <= tolerance:
+        if most <= tolerance:
             break
-        before = worst
     probability = F.when(F.col("tokens") > 0, F.least(F.col("weight") / F.col("tokens"), F.lit(1.0))).otherwise(0.0)
     return now.select(*columns, "weight", probability.alias("probability"))
 

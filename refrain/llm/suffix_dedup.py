@@ -59,7 +59,7 @@ _ARROW_STEP = pa.schema([
 ])
 _KNOWN, _HOT, _CONTEXT, _HOT_STARTS = range(4)
 
-_RANDOM = np.random.default_rng(20).integers(1, 1 << 63, (2, (LEFT + LENGTH) // 8 + 3), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM = np.random.default_rng(20).integers(1, 1 << 63, -(-GRAM // 8), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -68,6 +68,15 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _digests(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of a 128-bit cryptographic digest of each row of bytes; rows with equal digests count as equal, whatever a text was made for."""
+    data, width = np.ascontiguousarray(rows).tobytes(), rows.shape[1]
+    digest = hashlib.blake2b
+    whole = b"".join([digest(data[a : a + width], digest_size=16).digest() for a in range(0, len(data), width)])
+    both = np.frombuffer(whole, "<u8").reshape(-1, 2).astype(np.uint64)
+    return both[:, 0], both[:, 1]
+
+
 # ---- pages -----------------------------------------------------------------------------
 
 
@@ -150,7 +159,7 @@ def _gram_hashes(padded: np.ndarray, a: int, b: int) -> np.ndarray:
     words = np.ndarray((b - a + GRAM - 8,), "<u8", padded[a:].tobytes() + bytes(GRAM), strides=(1,)).astype(np.uint64)
     n, out = b - a, np.zeros(b - a, np.uint64)
     for k, shift in enumerate([*range(0, GRAM - 8, 8), GRAM - 8]):
-        out += words[shift : shift + n] * _RANDOM[0, k]
+        out += words[shift : shift + n] * _RANDOM[k]
     return _finish(out) | np.uint64(1)
 
 
@@ -231,11 +240,10 @@ class _Contexts:
         for a in range(0, n, _CHUNK):
             some = slice(a, a + _CHUNK)
             before, after, left, right = page.context(self.at[some])
-            whole = np.zeros((len(left), _RANDOM.shape[1] * 8), np.uint8)
+            whole = np.empty((len(left), LEFT + LENGTH + 2), np.uint8)
             whole[:, :LEFT], whole[:, LEFT : LEFT + LENGTH] = before, after
-            words = whole.view("<u8").astype(np.uint64)
-            words[:, -1] = left.astype(np.uint64) << np.uint64(8) | right.astype(np.uint64)
-            first[some], second[some] = _finish((words * _RANDOM[0]).sum(axis=1)), _finish((words * _RANDOM[1]).sum(axis=1))
+            whole[:, -2], whole[:, -1] = left, right
+            first[some], second[some] = _digests(whole)
         order = np.lexsort((self.at, second, first))  # documents lie in id order, so position is order in the page
         new = np.ones(n, bool)
         new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
@@ -363,14 +371,9 @@ def _strings(page: _Page, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     doc = page.document(starts)
     starts = starts[starts + LENGTH <= page.stops[doc]]
     first, second = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-    width = LENGTH // 8 * 8
     for a in range(0, len(starts), _CHUNK):
-        some = starts[a : a + _CHUNK]
-        words = np.zeros((len(some), _RANDOM.shape[1] * 8), np.uint8)
-        words[:, :LENGTH] = page.text[some[:, None] + np.arange(LENGTH)]
-        words = words.view("<u8").astype(np.uint64)[:, : width // 8 + 1]
-        first[a : a + _CHUNK] = _finish((words * _RANDOM[0, : words.shape[1]]).sum(axis=1))
-        second[a : a + _CHUNK] = _finish((words * _RANDOM[1, : words.shape[1]]).sum(axis=1))
+        some = slice(a, a + _CHUNK)
+        first[some], second[some] = _digests(page.text[starts[some, None] + np.arange(LENGTH)])
     order = np.lexsort((starts, second, first))
     first, second, starts = first[order], second[order], starts[order]
     new = np.ones(len(starts), bool)

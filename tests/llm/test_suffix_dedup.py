@@ -82,3 +82,29 @@ def test_repeated_ids_with_null_texts(spark):
     text = prose(random.Random(2), 40, 9000)
     texts = [(1, None), (1, text), (1, None), (None, text), (None, None), (None, ""), (2, text)]
     assert got(S.repeated_strings(documents(spark, texts).coalesce(1))) == brute(texts)
+
+
+@pytest.mark.parametrize("cold", [0, 200])
+def test_copies_with_two_letters_changed_in_case(spark, cold):
+    """Two case changes at equal places of their 8-byte words: no pair of places hides the change."""
+    rng = random.Random(7)
+    gram = "".join(chr(97 + rng.randrange(26)) for _ in range(S.GRAM))
+    text = "".join(chr(97 + rng.randrange(26)) for _ in range(S.LEFT)) + gram + "".join(chr(97 + rng.randrange(26)) for _ in range(S.LEFT))
+    outside = [p for p in range(len(text)) if not S.LEFT <= p < S.LEFT + S.GRAM]
+    texts = [(0, text)]
+    for p in outside:
+        for q in outside:
+            if p < q and (q - p) % 8 == 0:
+                texts.append((len(texts), "".join(c.upper() if k in (p, q) else c for k, c in enumerate(text))))
+    assert got(S.repeated_strings(documents(spark, texts), cold=cold)) == brute(texts)
+
+
+def test_digests_tell_case_changes_at_all_places_apart():
+    rows = [bytearray(b"a" * S.LENGTH)]
+    for p in range(S.LENGTH):
+        for q in range(p + 1, S.LENGTH):
+            rows.append(bytearray(rows[0]))
+            rows[-1][p] ^= 0x20
+            rows[-1][q] ^= 0x20
+    first, second = S._digests(np.array([list(r) for r in rows], np.uint8))
+    assert len({*zip(first.tolist(), second.tolist(), strict=True)}) == len(rows)

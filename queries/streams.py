@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from queries.base import Registry, r6, read, votes_of, wrap_votes_of
+from queries.base import Registry, r6, read, votes, votes_of, wrap_votes_of
 from queries.bars import classified, current_votes, show_suggestions
 from queries.bars import query as bar_queries
 from queries.votes import ORACLE_TOGGLE, show_records
@@ -15,6 +15,7 @@ from queries.votes import query as vote_queries
 from refrain.operators import suggest as S
 from refrain.operators import votes as V
 from refrain.operators.settle import shared_dir
+from refrain.sources.vote_logs import loop_vote_lines
 from refrain.streaming import votes as W
 
 query = Registry()
@@ -70,6 +71,15 @@ def stream_latest_wraps(spark, d):
     return w.withColumns({"exit_sec": r6(F.col("exit_sec")), "entry_sec": r6(F.col("entry_sec"))})
 
 
+@query("stream_appended_votes", BATCH["vote_latest_ratings"])
+def stream_appended_votes(spark, d):
+    """The table written as logs, read back by the line source, whose (file, byte) orders the votes."""
+    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}/log"
+    in_order = loop_vote_lines(votes(spark, d)).repartitionByRange("seq").sortWithinPartitions("seq")
+    in_order.select("value").write.text(folder)
+    return _state(spark, V.rating_state(W.stream_loop_votes(spark, folder)), V.CUT).filter("rating <> 'clear'")
+
+
 @query("stream_toggle_clicks", ORACLE_TOGGLE)
 def stream_toggle_clicks(spark, d):
     e = _events_stream(spark, d)

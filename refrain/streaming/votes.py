@@ -16,20 +16,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from refrain.operators.ordered import scan
 from refrain.operators.settle import settle
+from refrain.sources.log_tail import stream_log_lines
 from refrain.sources.vote_logs import parse_loop_votes
 
 
-def stream_log_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """New (rotated) log files as (seq, value); ``seq`` orders by file name and line."""
-    files = spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", max_files).text(path)
-    return files.select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value")
-    ).select(F.struct("file", "line").alias("seq"), "value")
-
-
-def stream_loop_votes(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Valid votes of the stream; torn and invalid lines are dropped."""
-    return parse_loop_votes(stream_log_lines(spark, path, max_files))[0]
+def stream_loop_votes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Valid votes of live logs, each once its line is complete; invalid lines are dropped."""
+    return parse_loop_votes(stream_log_lines(spark, path, pattern))[0]
 
 
 def toggle_stream(clicks: DataFrame, keys: list[str], key_schema: str) -> DataFrame:

@@ -7,7 +7,6 @@ samples); one row holds a few seconds, never a whole song and never one sample.
 from __future__ import annotations
 
 import io
-import struct
 import wave
 from collections.abc import Iterator
 
@@ -17,58 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.schemas import PCM_CHUNK
-
-CHUNK_SAMPLES = 65536
-
-
-class BadWav(ValueError):
-    """A file that is no WAV this reader knows; the message names why."""
-
-
-def _chunks(data: bytes) -> dict[bytes, bytes]:
-    """First ``fmt `` and ``data`` chunk of a RIFF file, wherever they are."""
-    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-        raise BadWav("no RIFF/WAVE header")
-    found: dict[bytes, bytes] = {}
-    at = 12
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        body = data[at + 8 : at + 8 + size]
-        if name == b"fmt " and len(body) < size or name == b"data" and len(body) < size:
-            raise BadWav(f"{name.decode()} chunk is cut short")
-        found.setdefault(name, body)
-        at += 8 + size + size % 2
-    if missing := {b"fmt ", b"data"} - found.keys():
-        raise BadWav(f"no {sorted(missing)[0].decode().strip()} chunk")
-    return found
+from refrain.sources.wav import CHUNK_SAMPLES, BadWav, decoded, layout, read_wav
 
 
 def _wav_samples(data: bytes) -> tuple[int, np.ndarray]:
-    """(rate, samples[frames, channels]) of WAV bytes: 8 to 32-bit integers, 32 or 64-bit floats, plain or extensible."""
-    found = _chunks(data)
-    fmt = found[b"fmt "]
-    if len(fmt) < 16:
-        raise BadWav("format chunk is cut short")
-    kind, channels, rate, _, frame, bits = struct.unpack_from("<HHIIHH", fmt)
-    if kind == 0xFFFE and len(fmt) >= 26:  # extensible: the kind is the start of the sub-format
-        kind = struct.unpack_from("<H", fmt, 24)[0]
-    width = bits // 8
-    if not channels or not rate or frame != channels * width:
-        raise BadWav("format chunk contradicts itself")
-    raw = found[b"data"][: len(found[b"data"]) // frame * frame]
-    if kind == 3 and bits in (32, 64):
-        samples = np.frombuffer(raw, f"<f{width}").astype(np.float32)
-    elif kind == 1 and bits == 8:
-        samples = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128.0) / 128.0
-    elif kind == 1 and bits in (16, 32):
-        samples = (np.frombuffer(raw, f"<i{width}") / float(1 << (bits - 1))).astype(np.float32)
-    elif kind == 1 and bits == 24:
-        wide = np.zeros((len(raw) // 3, 4), np.uint8)
-        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-        samples = (wide.view("<i4")[:, 0] / float(1 << 31)).astype(np.float32)
-    else:
-        raise BadWav(f"kind {kind} with {bits} bits")
-    return rate, samples.reshape(-1, channels)
+    """(rate, samples[frames, channels]) of the bytes of a whole WAV file."""
+    wav = layout(io.BytesIO(data), len(data))
+    raw = data[wav.start : wav.start + wav.frames * wav.frame_bytes]
+    return wav.rate, decoded(raw, wav.kind, wav.bits).reshape(-1, wav.channels)
 
 
 def decode_wav(files: DataFrame, chunk: int = CHUNK_SAMPLES) -> DataFrame:
@@ -81,7 +36,7 @@ def decode_wav(files: DataFrame, chunk: int = CHUNK_SAMPLES) -> DataFrame:
                     rate, pcm = _wav_samples(bytes(data))
                 except BadWav:
                     continue
-                for c in range(pcm.shape[1]):
+                for c in range(pcm.shape[1] if len(pcm) else 0):
                     starts = range(0, len(pcm), chunk)
                     yield pd.DataFrame(
                         {
@@ -117,9 +72,8 @@ def wav_rejects(files: DataFrame) -> DataFrame:
 
 
 def read_pcm(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
-    return decode_wav(files.select(name.alias("song_id"), "content"))
+    """PCM of all WAV files below a path, each file cut into byte ranges; see :mod:`refrain.sources.wav`."""
+    return read_wav(spark, path)
 
 
 def sum_channels(pcm: DataFrame, scale: Column) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from queries.base import Registry, q6, r6, read, with_ctes
 from refrain.operators import signal as S
 from refrain.operators.ordered import block_of, scan
-from refrain.operators.settle import settle
+from refrain.operators.settle import settle, shared_dir
 from refrain.plans import detect as D
 from refrain.plans import song_map as M
 from refrain.sources import exports as X
 from refrain.sources import pcm as P
+from refrain.sources.file_sink import write_loops
+from refrain.sources.wav import read_wav
 
 query = Registry()
 RATE, CHUNK, DOCS = 8000, 16384, 50
@@ -211,28 +215,45 @@ def frame_rms(spark, d):
     return f.select("song_id", "hop_idx", r6(F.col("rms")).alias("rms"))
 
 
-@query(
-    "pcm_wav_roundtrip",
+_ROUNDTRIP_SQL = (
     with_ctes(
         PCM_SQL,
         "w AS (SELECT song_id, pos, CAST(greatest(-32768, least(32767, floor(greatest(-1, least(1, x)) * 32767.0::DOUBLE + 0.5))) AS BIGINT) AS v FROM pcm JOIN len USING (song_id) WHERE pos >= floor(n / 8000.0::DOUBLE * 0.05::DOUBLE * 8000.0::DOUBLE + 0.5) AND pos < floor(n / 8000.0::DOUBLE * 0.95::DOUBLE * 8000.0::DOUBLE + 0.5))",
         select=f"SELECT song_id, 8000 AS sample_rate, count(*) AS n, {q6('sum(v) / 32768.0::DOUBLE')} AS total FROM w GROUP BY 1",
-    ),
+    )
 )
-def pcm_wav_roundtrip(spark, d):
-    p = text_pcm(spark, d)
+
+
+def _middles(p):
+    """The middle nine tenths of every song as a rendered loop named like its song."""
     loops = P.song_lengths(p).select(
-        "song_id", F.lit("a").alias("cand_id"), (F.col("n_samples") / 8000.0 * 0.05).alias("start_sec"), (F.col("n_samples") / 8000.0 * 0.95).alias("end_sec"),
+        "song_id", F.col("song_id").alias("cand_id"), (F.col("n_samples") / 8000.0 * 0.05).alias("start_sec"), (F.col("n_samples") / 8000.0 * 0.95).alias("end_sec"),
         F.lit(0.0).alias("fade_sec"), F.lit(False).alias("normalize"),
     )
-    wav = settle(X.render_loops(loops, p, P.song_lengths(p)))
-    back = P.decode_wav(wav.select("song_id", "content"))
-    return back.groupBy("song_id", "sample_rate").agg(
+    return X.render_loops(loops, p, P.song_lengths(p))
+
+
+def _sample_sums(pcm):
+    return pcm.groupBy("song_id", "sample_rate").agg(
         F.sum(F.size("samples")).cast("bigint").alias("n"),
         r6(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double")))).alias("total"),
     )
 
 
+@query("pcm_wav_roundtrip", _ROUNDTRIP_SQL)
+def pcm_wav_roundtrip(spark, d):
+    wav = settle(_middles(text_pcm(spark, d)))
+    return _sample_sums(P.decode_wav(wav.select("song_id", "content")))
+
+
+@query("pcm_wav_files", _ROUNDTRIP_SQL)
+def pcm_wav_files(spark, d):
+    """A file per loop, read back by byte ranges."""
+    folder = f"{shared_dir(spark)}/wav/{uuid.uuid4().hex}"
+    write_loops(_middles(text_pcm(spark, d)), folder)
+    return _sample_sums(read_wav(spark, folder, chunk=4096, range_bytes=1 << 16))
+
+
 @query(
     "render_loops",
     with_ctes(

@@ -16,6 +16,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Marks the name of a bucketed table among the paths to remove.
+_TABLE = "table "
 _local_dirs: dict[str, str] = {}
 _open_scopes: list[list[str]] = []
 
@@ -34,16 +36,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and return a reader of the written table."""
-    spark = df.sparkSession
+def _new_path(spark: SparkSession) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/refrain/{uuid.uuid4().hex}"
     for paths in _open_scopes:
         paths.append(path)
+    return path
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once and return a reader of the written table."""
+    spark = df.sparkSession
+    path = _new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``settle``, bucketed and sorted by ``keys``: joins on exactly these keys don't shuffle the table again."""
+    spark = df.sparkSession
+    name = f"refrain_{uuid.uuid4().hex}"
+    for paths in _open_scopes:
+        paths.append(f"{_TABLE}{name}")
+    path = _new_path(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out as the buckets are, so that each bucket is one file.
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove the tables settled inside the block when it ends; results that read them must be written before."""
@@ -55,5 +75,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _open_scopes.remove(paths)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
         for path in paths:
+            if path.startswith(_TABLE):
+                spark.sql(f"DROP TABLE IF EXISTS {path.removeprefix(_TABLE)}")
+                continue
             at = hadoop(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

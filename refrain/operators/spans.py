@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from refrain.functions.exact import clamp01, half_up
 from refrain.functions.vectors import band_delta, frame_vibe_sim, l2_normalize, spec_distance
 from refrain.operators.ordered import block_of, order_statistic, scan
+from refrain.operators.tiles import Tiles, at_hop, tiled
 
 SONG = ["song_id"]
 _VECTORS = (("chroma", 12), ("timbre", 8), ("spec", 24))
@@ -39,11 +40,20 @@ def frame_at(t: Column, hop_sec: Column | float, n: Column) -> Column:
     return F.greatest(F.lit(0), F.least(n - 1, F.floor(t / hop_sec)))
 
 
-def span_means(prefix: DataFrame, spans: DataFrame, lo: str = "i0", hi: str = "i1") -> DataFrame:
+def frame_tiles(frames: DataFrame | Tiles) -> Tiles:
+    """Frames ready for look-ups; a table of frames is packed first."""
+    return frames if isinstance(frames, Tiles) else tiled(frames, F.struct(*_FRAME))
+
+
+def prefix_tiles(prefix: DataFrame | Tiles) -> Tiles:
+    """Running sums ready for look-ups; a table of them is packed first."""
+    return prefix if isinstance(prefix, Tiles) else tiled(prefix, F.col("sums"))
+
+
+def span_means(prefix: DataFrame | Tiles, spans: DataFrame, lo: str = "i0", hi: str = "i1") -> DataFrame:
     """Mean frame of each span ``[lo, hi)`` (already inside the song) as a struct column ``mean``."""
-    end = prefix.select("song_id", (F.col("hop_idx") + 1).alias(hi), F.col("sums").alias("__hi"))
-    start = prefix.select("song_id", (F.col("hop_idx") + 1).alias(lo), F.col("sums").alias("__lo"))
-    joined = spans.join(end, ["song_id", hi]).join(start, ["song_id", lo], "left")
+    sums = prefix_tiles(prefix)
+    joined = at_hop(at_hop(spans, sums, F.col(hi) - 1, "__hi"), sums, F.col(lo) - 1, "__lo", "left")
     n = F.col(hi) - F.col(lo)
     mean = F.when(F.col("__lo").isNull(), F.transform("__hi", lambda v: v / n)).otherwise(
         F.zip_with("__hi", "__lo", lambda a, b: (a - b) / n)
@@ -68,16 +78,16 @@ def clamp_span(i0: Column, i1: Column, n: Column) -> tuple[Column, Column]:
 
 
 def compare_aligned(
-    frames: DataFrame,
+    frames: DataFrame | Tiles,
     pairs: DataFrame,
     keys: Sequence[str],
     offsets: Column,
     value: Callable[[Column, Column], Column],
 ) -> DataFrame:
     """Evaluate ``value(frame a, frame b)`` for each {a, b} hop pair in ``offsets``: (keys, pos, value)."""
-    side = lambda name: frames.select("song_id", F.col("hop_idx").alias(name), F.struct(*_FRAME).alias(f"__{name}"))
+    tiles = frame_tiles(frames)
     rows = pairs.select(*keys, F.posexplode(offsets).alias("pos", "o")).select(*keys, "pos", "o.a", "o.b")
-    joined = rows.join(side("a"), ["song_id", "a"]).join(side("b"), ["song_id", "b"])
+    joined = at_hop(at_hop(rows, tiles, F.col("a"), "__a"), tiles, F.col("b"), "__b")
     return joined.select(*keys, "pos", value(F.col("__a"), F.col("__b")).alias("value"))
 
 
@@ -86,7 +96,7 @@ def _strided(n: Column, step: Column, a: Column, b: Column) -> Column:
     return F.transform(ks, lambda k: F.struct((a + k).alias("a"), (b + k).alias("b")))
 
 
-def homogeneity(prefix: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+def homogeneity(prefix: DataFrame | Tiles, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Penalty for a section change inside a loop: bar to bar and half to half similarity.
 
     ``spans``: keys + start_sec, end_sec, bar_sec, hop_sec, n_frames.  At most a few dozen bars each.
@@ -124,7 +134,7 @@ def homogeneity(prefix: DataFrame, spans: DataFrame, keys: Sequence[str]) -> Dat
     )
 
 
-def wrap_vibe(frames: DataFrame, prefix: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+def wrap_vibe(frames: DataFrame | Tiles, prefix: DataFrame | Tiles, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What is heard across the wrap: after the start against before the end.
 
     ``spans``: keys + start_sec, end_sec, window_sec, hop_sec, n_frames.
@@ -161,7 +171,7 @@ def beat_wrap_vibe(beats: DataFrame, windows: DataFrame, keys: Sequence[str]) ->
     )
 
 
-def phrase_closure(frames: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+def phrase_closure(frames: DataFrame | Tiles, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Does the arrival resemble the continuation it replaces, before and after the cut.
 
     ``spans``: keys + start_sec, end_sec, window_sec, hop_sec, n_frames.  Spans without a
@@ -196,7 +206,7 @@ def phrase_closure(frames: DataFrame, spans: DataFrame, keys: Sequence[str]) ->
     return agg.select(*keys, F.exp(-(0.65 * F.col("m") + 0.35 * p80)).alias("closure"))
 
 
-def span_distance(frames: DataFrame, prefix: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def span_distance(frames: DataFrame | Tiles, prefix: DataFrame | Tiles, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distance of two equally long stretches: of their means and along them.
 
     ``pairs``: keys + a0, b0, width (both stretches inside the song).
@@ -214,7 +224,7 @@ def span_distance(frames: DataFrame, prefix: DataFrame, pairs: DataFrame, keys:
     return overall.join(along, keys).select(*keys, (0.4 * F.col("mean_d") + 0.6 * F.col("seq_d")).alias("distance"))
 
 
-def transition_model(frames: DataFrame, prefix: DataFrame, songs: DataFrame) -> DataFrame:
+def transition_model(frames: DataFrame | Tiles, prefix: DataFrame | Tiles, songs: DataFrame) -> DataFrame:
     """Typical step size of each song at each comparison width: (song_id, width, n, median, high).
 
     ``songs``: song_id, hop_sec, beat_sec, n_frames, widths (array of seconds).  One distance
@@ -244,7 +254,7 @@ def continuity(value: Column, median: Column, high: Column) -> Column:
 
 
 def join_continuity(
-    frames: DataFrame, prefix: DataFrame, model: DataFrame, spans: DataFrame, keys: Sequence[str]
+    frames: DataFrame | Tiles, prefix: DataFrame | Tiles, model: DataFrame, spans: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """Is the splice end -> start as smooth as an ordinary step of the song (worst scale), 0 when incomparable.
 

@@ -22,10 +22,11 @@ from queries.votes import KEY
 from refrain.functions import scoring as Q
 from refrain.functions import vectors as X
 from refrain.operators import candidates as K
+from refrain.operators import jumps as J
 from refrain.operators import rhythm as R
 from refrain.operators import spans as P
 from refrain.operators import votes as V
-from refrain.operators.ordered import asof  # noqa: F401
+from refrain.operators.ordered import asof, top_per_key  # noqa: F401
 from refrain.operators.settle import settle
 
 query = Registry()
@@ -320,6 +321,31 @@ clo AS (SELECT song_id, bars, start_beat, exp(-(0.65::DOUBLE * avg(dd) + 0.35::D
 """
 
 
+# All meter-preserving pairs far enough apart for the whole window; bars holds the exit and start_beat the entry.
+_FAR_PAIRS = f"""
+win AS (SELECT x.song_id, x.beat_idx AS bars, e.beat_idx AS start_beat, e.t_sec AS start_sec, x.t_sec AS end_sec, n_frames
+  FROM beats x JOIN beats e ON e.song_id = x.song_id JOIN nf ON nf.song_id = x.song_id
+  WHERE x.beat_idx >= 1 AND x.beat_idx % 4 = e.beat_idx % 4 AND x.beat_idx <> e.beat_idx AND abs(x.t_sec - e.t_sec) >= {Q.DEFAULT_VIBE_WINDOW_SEC}::DOUBLE / 0.45::DOUBLE)
+"""
+
+
+@query(
+    "jump_far_closures",
+    with_ctes(
+        FRAMES_SQL, BEATS, _FAR_PAIRS, _CLOSE.replace("(end_sec - start_sec) * 0.45::DOUBLE", f"{Q.DEFAULT_VIBE_WINDOW_SEC}::DOUBLE"),
+        "jr AS (SELECT song_id, bars, start_beat, closure, row_number() OVER (PARTITION BY song_id, bars ORDER BY closure DESC, start_beat) AS rank FROM clo)",
+        select=f"SELECT song_id, bars AS exit_beat, CAST(rank AS INT) AS rank, start_beat AS entry_beat, {q6('closure')} AS closure FROM jr WHERE rank <= 4",
+    ),
+)
+def jump_far_closures(spark, d):
+    """The four entries of highest closure per exit, by bounded top-k; the SQL compares all pairs."""
+    f = frames(spark, d)
+    strips = settle(J.placed_strips(f, beats(f), songs(f)))
+    far, _ = J.compared_tiles(strips, 4, 0.0, J.NEAR_SEC)
+    best = top_per_key(far.where("closure is not null and not isnan(closure)"), ["song_id", "exit_beat"], [F.col("closure").desc(), F.col("entry_beat")], 4)
+    return best.select("song_id", "exit_beat", "rank", "entry_beat", r6(F.col("closure")).alias("closure"))
+
+
 @query("loop_phrase_closure", with_ctes(FRAMES_SQL, BEATS, _WINDOWS, _CLOSE, select=f"SELECT song_id, bars, start_beat, {q6('closure')} AS closure FROM clo"))
 def loop_phrase_closure(spark, d):
     f = frames(spark, d)

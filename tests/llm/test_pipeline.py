@@ -11,7 +11,8 @@ import corpus_pipeline
 from refrain.llm.token_output import public_tokenizer
 from tests.llm.tables import prose
 from tests.llm.test_decontaminate import brute as leaks
-from tests.llm.test_simhash import components, plain_fingerprint
+from tests.llm.test_similar import plain_bag, plain_similarity
+from tests.llm.test_simhash import components
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,8 +57,9 @@ def test_stages(spark, sf_dir, tmp_path):
     # junk goes, clean documents stay
     assert [x for x in start if x not in quality] == [x for x in start if "###" in (x[1] or "")]
     # one document of each group stays, the smallest id
-    prints = {i: plain_fingerprint(t) for i, t in quality if i is not None}
-    groups = components(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    named = [(i, t) for i, t in quality if i is not None]
+    bags = [plain_bag(t) for _, t in named]
+    groups = components([i for i, _ in named], [(named[x][0], named[y][0]) for x in range(len(named)) for y in range(x + 1, len(named)) if plain_similarity(bags[x], bags[y]) >= 0.8])
     assert [i for i, _ in near if i is not None] == sorted({g for g in groups.values()}, key=str)
     # contaminated documents go
     assert {i for i, _ in near} - {i for i, _ in clean} == {i for i, _ in leaks([x for x in near if x[0] is not None], items)}

@@ -5,12 +5,13 @@ import subprocess
 import sys
 import textwrap
 from pathlib import Path
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from refrain.operators.candidates import suppress_near_duplicates
-from refrain.operators.settle import scratch, settle
+from refrain.operators.settle import scratch, settle, shared_dir
 
 
 def test_scratch_removes_its_tables(spark):
@@ -78,3 +79,18 @@ def test_workers_find_the_package_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
+def _session(master, checkpoints=None, **conf):
+    """What ``shared_dir`` asks of a session."""
+    context = SimpleNamespace(master=master, applicationId="a", getCheckpointDir=lambda: checkpoints)
+    named = {"spark.sql.warehouse.dir": "file:/shared/warehouse", "spark.master": master} | {f"spark.{k.replace('_', '.')}": v for k, v in conf.items()}
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: named.get(key, default)), sparkContext=context)
+
+
+def test_clusters_settle_in_any_shared_folder():
+    """A checkpoint folder without a scheme, one set on the context, or none at all: never an error, never the driver's temp folder."""
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,4,10240]"):
+        assert shared_dir(_session(master, checkpoint_dir="/shared/checkpoints")) == "/shared/checkpoints"
+        assert shared_dir(_session(master, "file:/shared/set")) == "file:/shared/set"
+        assert shared_dir(_session(master)) == "file:/shared/warehouse"

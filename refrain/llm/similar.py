@@ -1,12 +1,18 @@
 """Near-duplicates by exact similarity of word shingles.
 
 Two texts are linked if the multiset Jaccard similarity of their word shingles is at least
-``similarity``.  Pairs to compare come from MinHash bands: BANDS keys of BAND_ROWS minima each,
-so a pair at similarity s shares no key with probability (1 - s ** BAND_ROWS) ** BANDS, 3e-6 at
-0.8 and less above.  Every pair that links has been compared shingle by shingle.
+``similarity``.  Pairs to compare come first from SimHash: each text's shingles give a 64-bit
+fingerprint, and the chains of the pigeonring filter join those at RADIUS or fewer differing
+bits (``simhash.linked_fingerprints``).  Few pairs at 0.8 are that near, so MinHash adds the
+others: BANDS keys of BAND_ROWS minima each, where a pair at similarity s shares no key with
+probability (1 - s ** BAND_ROWS) ** BANDS, 3e-6 at 0.8 and less above.  Every pair that links
+has been compared shingle by shingle.
 
 Only components are wanted, so not every pair of a large group is compared.  Equal bags are
-one text from the start, and each text is compared with the first text it shares a key with.
+one text from the start, and each text is compared with the first text that shares its
+fingerprint, the first of the next fingerprint below its own that the chains join to it, and
+the first text it shares a key with; pairs of the same fingerprints that these leave out are
+as alike as pairs that share keys, and are settled with them.
 What is left open forms crowds: texts connected over shared keys.  The median of a crowd has
 the shingles of more than half its texts, and a text's difference are the shingles that it
 has and the median hasn't, or the reverse.  Two bags of a and b shingles are similar at s if
@@ -35,16 +41,20 @@ from refrain.llm import pages as P
 from refrain.llm.batches import bounded_batches
 from refrain.llm.components import component_labels
 from refrain.llm.decontaminate import shingle_hashes
+from refrain.llm.simhash import BITS, linked_fingerprints
 from refrain.operators.settle import settle
 
 SHINGLE = 5
 SIMILARITY = 0.8
+RADIUS = 3
 BANDS = 24
 BAND_ROWS = 4
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A crowd's texts meet its median in this many groups.
 _SALTS = 32
+#: Hashes that a fingerprint takes at once.
+_CHUNK = 1 << 15
 
 
 def bag(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -77,7 +87,16 @@ def band_keys(bags: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
-_SKETCH = "row long, bag binary, size long, keys array<long>"
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of a bag as a signed long: bits set in over half the hashes; an empty bag gives zero."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + _CHUNK], "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+_SKETCH = "row long, bag binary, size long, fp long, keys array<long>"
 
 
 def _sketches(shingle: int):
@@ -86,9 +105,9 @@ def _sketches(shingle: int):
             bags = [bag(t.as_py(), shingle) for t in b.column("text")]
             some = [x for x in bags if len(x)]
             keys = iter(band_keys(some).view(np.int64).tolist() if some else [])
-            columns = [b.column("row"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in bags], pa.binary()), pa.array(list(map(len, bags)), pa.int64())]
+            columns = [b.column("row"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in bags], pa.binary()), pa.array(list(map(len, bags)), pa.int64()), pa.array(list(map(fingerprint_of, bags)), pa.int64())]
             columns.append(pa.array([next(keys) if len(x) else [] for x in bags], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["row", "bag", "size", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "bag", "size", "fp", "keys"])
 
     return sketch
 
@@ -168,6 +187,19 @@ def _crowd_links(differences: DataFrame, least: float) -> DataFrame:
     return stars.union(settle(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))))
 
 
+def _near_fingerprints(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``prints`` (node, fp) that SimHash takes for alike: a text and the first one of its fingerprint, the first texts of two fingerprints that the chains join.
+
+    Of the fingerprints joined to one, only the least is taken: pairs are proposals here, and grow with the texts.
+    """
+    firsts = settle(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    near = linked_fingerprints(firsts.select("fp"), RADIUS).groupBy("b").agg(F.min("a").alias("a"))
+    first = lambda name: firsts.select(F.col("fp").alias(name), F.col("first").alias(f"first_{name}"))
+    apart = near.join(first("a"), "a").join(first("b"), "b").select("first_a", "first_b")
+    same = prints.join(firsts, "fp").where("first < node").select(F.col("first").alias("first_a"), F.col("node").alias("first_b"))
+    return settle(apart.union(same).select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
 def similar_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """(row, group) of every row of ``rows`` (row, text): ``group`` is the smallest row reachable over similar texts.
 
@@ -183,12 +215,14 @@ def similar_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMIL
     nodes = own.where("row = node").select("node", "size", F.posexplode("keys").alias("band", "key"))
     shared = nodes.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     crowds = settle(nodes.join(shared, ["band", "key"]))
+    proposed = _near_fingerprints(own.where("row = node and size > 0").select("node", "fp"))
     P.drop_shuffles(spark)
-    texts = settle(rows.join(crowds.select(F.col("node").alias("row")).distinct().hint("merge"), "row", "left_semi").select("row", "text"))
+    open_nodes = crowds.select(F.col("node").alias("row")).union(proposed.select("a")).union(proposed.select("b")).distinct()
+    texts = settle(rows.join(open_nodes.hint("merge"), "row", "left_semi").select("row", "text"))
     P.drop_shuffles(spark)
 
     tried = settle(crowds.where("head < node").groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")).select("a", "b"))
-    links = _linked(tried, texts, shingle, least)
+    links = _linked(tried.union(proposed).distinct(), texts, shingle, least)
     found = component_labels(links).withColumnRenamed("label", "part")
     before = tried.select(F.col("b").alias("node"), F.col("a").alias("tried"))
     parted = settle(crowds.join(found, "node", "left").join(before, "node", "left").withColumn("part", F.coalesce("part", "node")))

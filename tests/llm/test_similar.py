@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import xxhash
+
 import corpus_pipeline
 from refrain.llm import similar
 from refrain.llm.similar import bag, similar_groups, similarity
@@ -115,3 +118,19 @@ def test_stage_keeps_one_of_each_group(spark):
     want = sorted([*map(str, smallest.values()), "5000", "None", "None"])
     assert sorted(str(r.doc_id) for r in out.collect()) == want and out.columns == df.columns
     assert corpus_pipeline.near_dedup_stage(spark, empty(spark), "").count() == 0
+
+
+def test_near_fingerprints_link_without_minhash(spark, monkeypatch):
+    """Copies whose fingerprints the pigeonring chains join are compared though they share no MinHash key."""
+
+    def apart(bags):
+        return np.array([[xxhash.xxh64_intdigest(x.tobytes(), band) for band in range(similar.BANDS)] for x in bags], np.uint64)
+
+    rng = random.Random(8)
+    bases = [prose(rng, 3000, 9000) for _ in range(4)]
+    texts = [t for base in bases for t in (base, edited(rng, base, 1), base.upper())]
+    prints = [similar.fingerprint_of(bag(t)) for t in texts]
+    assert all((prints[i] ^ prints[i + 1]).bit_count() <= similar.RADIUS and bag(texts[i]).tolist() != bag(texts[i + 1]).tolist() for i in range(0, 12, 3))
+    monkeypatch.setattr(similar, "band_keys", apart)
+    out = similar_groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
+    assert dict(map(tuple, out.select("row", "group").collect())) == {i: i // 3 * 3 for i in range(12)}

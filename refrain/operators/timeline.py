@@ -248,28 +248,24 @@ def layer_plan(clips: DataFrame, buffers: DataFrame, stems: DataFrame, selected:
     rows in ascending order.  ``stems`` (source_buffer_id, kind, buffer_id, stem_idx).
     """
     marked = clips.withColumn("__sel", selected)
-    floor = marked.groupBy(*PROJECT).agg(F.max("row").alias("__max_row"))
-    rows = marked.filter("__sel").select(*PROJECT, "row").distinct()
-    ranked = dense_index(rows, PROJECT, block_of(F.col("row")), ["row"], "__rank")
-    names = buffers.select(F.col("buffer_id"), F.col("name").alias("__name"))
-    parts = stems.select(
-        F.col("source_buffer_id").alias("buffer_id"), "kind", F.col("buffer_id").alias("__stem_buffer"), "stem_idx"
-    )
-    split = (
-        marked.filter("__sel")
-        .join(floor, PROJECT)
-        .join(ranked, [*PROJECT, "row"])
-        .join(names, "buffer_id", "left")
-        .join(parts, "buffer_id")
-    )
+    used = marked.groupBy(*PROJECT, "row").agg(F.max("__sel").alias("__sel"))
+    floor = used.groupBy(*PROJECT).agg(F.max("row").alias("__max_row"))
+    rows = used.filter("__sel").select(*PROJECT, "row")
+    ranked = dense_index(rows, PROJECT, block_of(F.col("row")), ["row"], "__rank").join(floor, PROJECT)
+    # One row per buffer with all its stems: clips meet two tables only and become a row per stem after the last join.
+    stem = F.struct("kind", "stem_idx", F.col("buffer_id").alias("stem_buffer"))
+    parts = stems.groupBy(F.col("source_buffer_id").alias("buffer_id")).agg(F.collect_list(stem).alias("__stems"))
+    named = parts.join(buffers.select("buffer_id", F.col("name").alias("__name")), "buffer_id", "left")
+    split = marked.filter("__sel").join(ranked, [*PROJECT, "row"]).join(named, "buffer_id").withColumn("__stem", F.explode("__stems"))
     name = F.coalesce("label", "__name", F.lit("Clip"))
-    extra = F.col("__max_row") + 1 + F.col("__rank") * (stem_count - 1) + F.col("stem_idx") - 1
+    kind, nth = F.col("__stem.kind"), F.col("__stem.stem_idx")
+    extra = F.col("__max_row") + 1 + F.col("__rank") * (stem_count - 1) + nth - 1
     layered = split.withColumns(
         {
-            "label": _stem_label(name, F.col("kind")),
-            "row": F.when(F.col("stem_idx") == 0, F.col("row")).otherwise(extra).cast("int"),
-            "clip_id": F.concat_ws("#", "clip_id", "kind"),
-            "buffer_id": F.col("__stem_buffer"),
+            "label": _stem_label(name, kind),
+            "row": F.when(nth == 0, F.col("row")).otherwise(extra).cast("int"),
+            "clip_id": F.concat_ws("#", "clip_id", kind),
+            "buffer_id": F.col("__stem.stem_buffer"),
         }
     ).select(*clips.columns)
     return marked.filter(~F.col("__sel")).select(*clips.columns).unionByName(layered)

@@ -25,3 +25,50 @@ def test_gain_totals_are_those_of_the_points(spark):
     assert show(out) == show(want) and out.count() == 307
     usual = T.gain_totals(clips.where("project_id < 7"))
     assert "MapInArrow" in usual._jdf.queryExecution().executedPlan().toString()
+
+
+def _plan_tables(spark):
+    """Clips of three projects and a null one, with rows, labels and buffers that are null, missing or repeated."""
+    cols = "project_id long, clip_id string, buffer_id string, start_time double, row int, layer_index int, trim_start double, trim_end double, gain double, fade_in_sec double, fade_out_sec double, speed double, label string, picked boolean"
+    rows = []
+    for k in range(160):
+        project = None if k % 41 == 0 else k % 3
+        numbers = [0.5 * k, k % 5 - 0.25 * (k % 2), 4.0 + k % 3, None if k % 23 == 0 else float("nan") if k % 29 == 0 else 1.0, 0.1, 0.1, k % 7 - 1.0]
+        rows.append((project, f"c{k % 150}", None if k % 37 == 0 else f"b{k % 19}", numbers[0], None if k % 31 == 0 else (k * 5000) % 17011, k, *numbers[1:], f"l{k}" if k % 2 else None, None if k % 43 == 0 else k % 3 != 1))
+    clips = spark.createDataFrame(rows, cols)
+    buffers = spark.createDataFrame([(f"b{k % 15}", f"n{k}" if k % 4 else None, 1.0 * k) for k in range(17)], "buffer_id string, name string, duration_sec double")
+    stems = spark.createDataFrame([(f"b{k}", kind, f"b{k}.{kind}", i, 1.5) for k in range(1, 17) for i, kind in enumerate(("drums", "bass", "other", "vocals"))], "source_buffer_id string, kind string, buffer_id string, stem_idx int, duration_sec double")
+    return clips, buffers, stems
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def _clip_joins(node):
+    """Joins whose rows carry a clip."""
+    below = sum(_clip_joins(node.children().apply(i)) for i in range(node.children().size()))
+    return below + (node.nodeName() == "Join" and "clip_id" in node.output().mkString(","))
+
+
+def test_layer_plan_joins_clips_twice(spark):
+    """Stems land on the rows that plain windows give them; the clips meet one table per row and one per buffer."""
+    clips, buffers, stems = _plan_tables(spark)
+    clips.createOrReplaceTempView("clips"), buffers.createOrReplaceTempView("buffers"), stems.createOrReplaceTempView("stems")
+    want = spark.sql("""
+        WITH top AS (SELECT project_id, max(row) AS top FROM clips GROUP BY 1),
+          rk AS (SELECT project_id, row, row_number() OVER (PARTITION BY project_id ORDER BY row) - 1 AS rk FROM (SELECT DISTINCT project_id, row FROM clips WHERE picked))
+        SELECT project_id, clip_id, buffer_id, row, label FROM clips WHERE NOT picked
+        UNION ALL SELECT c.project_id, concat(c.clip_id, '#', s.kind), s.buffer_id, CAST(if(s.stem_idx = 0, c.row, top + 1 + rk * 3 + s.stem_idx - 1) AS INT),
+          concat(coalesce(c.label, b.name, 'Clip'), ' · ', initcap(s.kind))
+        FROM clips c JOIN top USING (project_id) JOIN rk ON rk.project_id = c.project_id AND rk.row = c.row
+        LEFT JOIN buffers b ON b.buffer_id = c.buffer_id JOIN stems s ON s.source_buffer_id = c.buffer_id WHERE c.picked""")
+    plan = T.layer_plan(clips, buffers, stems, F.col("picked"), 4)
+    out = plan.select("project_id", "clip_id", "buffer_id", "row", "label")
+    assert _rows(out) == _rows(want) and out.count() > 300
+    assert _clip_joins(out._jdf.queryExecution().optimizedPlan()) == 2  # four before
+    held = T.layer_plan_buffers(plan, buffers, stems)
+    used = {r.buffer_id for r in plan.select("buffer_id").collect()}
+    names = [r.buffer_id for r in held.collect()]
+    assert sorted(n for n in names if "." not in n) == sorted(r.buffer_id for r in buffers.collect() if r.buffer_id in used)
+    assert sum("." in n for n in names) == stems.join(buffers.withColumnRenamed("buffer_id", "source_buffer_id"), "source_buffer_id", "left").count()

@@ -273,7 +273,9 @@ def layer_plan(clips: DataFrame, buffers: DataFrame, stems: DataFrame, selected:
 
 def layer_plan_buffers(planned: DataFrame, buffers: DataFrame, stems: DataFrame) -> DataFrame:
     """Buffers still in use plus the stem buffers."""
-    used = buffers.join(planned.select("buffer_id").distinct(), "buffer_id", "left_semi")
+    # Dealt out first: a task then tells apart its share of the ids, not all that occur in its part of the clips.
+    named = planned.select("buffer_id").repartition("buffer_id").distinct()
+    used = buffers.join(named, "buffer_id", "left_semi")
     names = buffers.select(F.col("buffer_id").alias("source_buffer_id"), F.col("name").alias("__name"))
     added = stems.join(names, "source_buffer_id", "left").select(
         "buffer_id",

@@ -404,37 +404,55 @@ def loops_with_song_to_rows(loops: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def validate_projects(clips: DataFrame, buffers: DataFrame, audio: DataFrame) -> DataFrame:
-    """Violations of the project rules as (project_id, rule, id); no rows means valid."""
+    """Violations of the project rules as (project_id, rule, id); no rows means valid.
+
+    Each table is read once: clips are flagged row by row and summed up per clip id, buffers and audio
+    are counted together per buffer id.  An id or project that is null matches nothing.
+    """
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    broken = lambda bad: F.coalesce(bad, F.lit(True))
 
-    def flag(df: DataFrame, rule: str, key: str, bad: Column) -> DataFrame:
-        rows = df.filter(F.coalesce(bad, F.lit(True)))
-        return rows.select("project_id", F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id"))
+    def flagged(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+        """A row per rule that ``df`` breaks; ``df`` has one row per project and key."""
+        names = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules.items()]))
+        return df.select("project_id", F.explode(names).alias("rule"), F.col(key).cast("string").alias("id"))
 
-    def repeated(df: DataFrame, rule: str, key: str) -> DataFrame:
-        twice = df.groupBy("project_id", key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        return flag(twice, rule, key, F.lit(True))
+    key = ["project_id", "buffer_id"]
+    whole = F.col("project_id").isNotNull() & F.col("buffer_id").isNotNull()
+    no, one = F.lit(False), F.lit(1).cast("long")
+    bad_buffer = ~(finite("duration_sec") & (F.col("duration_sec") >= 0) & F.col("name").isNotNull() & (F.length("buffer_id") > 0))
+    bad_length = ~((F.col("byte_length") > 0) & (F.col("byte_length") == F.floor("byte_length")))
+    sides = buffers.select(*key, one.alias("buffers"), F.lit(0).cast("long").alias("audio"), broken(bad_buffer).alias("bad_buffer"), no.alias("bad_length")).unionByName(
+        audio.select(*key, F.lit(0).cast("long").alias("buffers"), one.alias("audio"), no.alias("bad_buffer"), broken(bad_length).alias("bad_length"))
+    )
+    sides = sides.groupBy(*key).agg(F.sum("buffers").alias("buffers"), F.sum("audio").alias("audio"), F.max("bad_buffer").alias("bad_buffer"), F.max("bad_length").alias("bad_length"))
+    both = whole & (F.col("buffers") > 0) & (F.col("audio") > 0)
+    of_buffers = flagged(
+        sides,
+        "buffer_id",
+        {
+            "duplicate-buffer": F.col("buffers") > 1,
+            "duplicate-audio": F.col("audio") > 1,
+            "bad-buffer": F.col("bad_buffer"),
+            "buffer-without-audio": (F.col("buffers") > 0) & ~both,
+            "audio-without-buffer": (F.col("audio") > 0) & ~both,
+            "bad-audio-length": F.col("bad_length"),
+        },
+    )
 
     numbers = ["start_time", "row", "layer_index", "trim_start", "trim_end", "gain", "fade_in_sec", "fade_out_sec", "speed"]
     all_finite = F.lit(True)
     for c in numbers:
         all_finite = all_finite & finite(c)
-    always = F.lit(True)
-    key = ["project_id", "buffer_id"]
-    found = [
-        repeated(buffers, "duplicate-buffer", "buffer_id"),
-        repeated(clips, "duplicate-clip", "clip_id"),
-        repeated(audio, "duplicate-audio", "buffer_id"),
-        flag(buffers, "bad-buffer", "buffer_id", ~(finite("duration_sec") & (F.col("duration_sec") >= 0) & F.col("name").isNotNull() & (F.length("buffer_id") > 0))),
-        flag(clips.join(buffers, key, "left_anti"), "clip-without-buffer", "clip_id", always),
-        flag(buffers.join(audio, key, "left_anti"), "buffer-without-audio", "buffer_id", always),
-        flag(audio.join(buffers, key, "left_anti"), "audio-without-buffer", "buffer_id", always),
-        flag(audio, "bad-audio-length", "buffer_id", ~((F.col("byte_length") > 0) & (F.col("byte_length") == F.floor("byte_length")))),
-        flag(clips, "bad-number", "clip_id", ~all_finite),
-        flag(clips, "bad-trim", "clip_id", ~((F.col("trim_start") >= 0) & (F.col("trim_end") > F.col("trim_start")))),
-        flag(clips, "bad-speed", "clip_id", ~(F.col("speed") > 0)),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    rules = {
+        "bad-number": ~all_finite,
+        "bad-trim": ~((F.col("trim_start") >= 0) & (F.col("trim_end") > F.col("trim_start"))),
+        "bad-speed": ~(F.col("speed") > 0),
+    }
+    known = sides.filter((F.col("buffers") > 0) & whole).select(*key, F.lit(True).alias("known"))
+    checked = clips.select(*key, "clip_id", *[broken(bad).alias(rule) for rule, bad in rules.items()]).join(known, key, "left")
+    per_clip = checked.groupBy("project_id", "clip_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("known").isNull()).alias("clip-without-buffer"), *[F.max(f"`{rule}`").alias(rule) for rule in rules]
+    )
+    of_clips = flagged(per_clip, "clip_id", {"duplicate-clip": F.col("n") > 1} | {r: F.col(f"`{r}`") for r in ("clip-without-buffer", *rules)})
+    return of_buffers.unionByName(of_clips)

@@ -68,6 +68,7 @@ def test_layer_plan_joins_clips_twice(spark):
     assert _rows(out) == _rows(want) and out.count() > 300
     assert _clip_joins(out._jdf.queryExecution().optimizedPlan()) == 2  # four before
     held = T.layer_plan_buffers(plan, buffers, stems)
+    assert "RepartitionByExpression [buffer_id" in held._jdf.queryExecution().optimizedPlan().toString()  # ids are dealt out before the grouping
     used = {r.buffer_id for r in plan.select("buffer_id").collect()}
     names = [r.buffer_id for r in held.collect()]
     assert sorted(n for n in names if "." not in n) == sorted(r.buffer_id for r in buffers.collect() if r.buffer_id in used)

@@ -22,13 +22,14 @@ _open_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for settled tables: the configured or set checkpoint folder, else the warehouse.
+    """The folder for settled tables: the context's checkpoint folder, else the configured one, else the warehouse.
 
-    Both are shared by driver and executors; a path without a scheme belongs to the cluster's
-    default file system, as for Spark itself.  Only a session whose executor is the driver
-    (``local``, ``local[n]``) may use a temporary folder of its own.
+    These are shared by driver and executors.  As for Spark's own checkpoints, a folder set on
+    the context overrides the configured one; a path without a scheme belongs to the cluster's
+    default file system.  Only a session whose executor is the driver (``local``, ``local[n]``)
+    may use a temporary folder of its own.
     """
-    folder = spark.conf.get(_KEY, None) or spark.sparkContext.getCheckpointDir()
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get(_KEY, None)
     if folder:
         return folder
     if spark.sparkContext.master.partition("[")[0] != "local":

@@ -7,6 +7,7 @@ import textwrap
 from pathlib import Path
 from types import SimpleNamespace
 
+import pyspark
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -94,3 +95,34 @@ def test_clusters_settle_in_any_shared_folder():
         assert shared_dir(_session(master, checkpoint_dir="/shared/checkpoints")) == "/shared/checkpoints"
         assert shared_dir(_session(master, "file:/shared/set")) == "file:/shared/set"
         assert shared_dir(_session(master)) == "file:/shared/warehouse"
+
+
+def test_a_folder_set_on_the_context_overrides_the_configured_one():
+    """Spark's defaults may name a folder that each machine has for itself; the cluster's own is then set on the context."""
+    for master in ("spark://host:7077", "local-cluster[3,4,10240]", "local[4]"):
+        assert shared_dir(_session(master, "hdfs://store/checkpoints/a", checkpoint_dir="/tmp/checkpoints")) == "hdfs://store/checkpoints/a"
+
+
+def test_executors_apart_from_the_driver_settle_in_the_set_folder(tmp_path):
+    """Three executors, for each of which the configured folder is another one."""
+    root = Path(__file__).resolve().parent.parent
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors work below Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    code = f"""
+        import sys
+        sys.path.insert(0, {str(root)!r})
+        from pyspark.sql import SparkSession
+        conf = {{"spark.checkpoint.dir": "/proc/self/cwd/own", "spark.ui.enabled": "false", "spark.executor.memory": "1g", "spark.sql.shuffle.partitions": "3",
+            "spark.driver.host": "127.0.0.1", "spark.sql.warehouse.dir": {str(tmp_path / "warehouse")!r}}}
+        spark = SparkSession.builder.master("local-cluster[3,1,1024]").config(map=conf).getOrCreate()
+        spark.sparkContext.setCheckpointDir({str(tmp_path / "shared")!r})
+        import __spark_entry__ as entry
+        print("ROWS", entry.queries()["bars_layered"](spark, "/root/testdata/sf0.001").count())
+        spark.stop()
+    """
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
+    done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 1000" in done.stdout, done.stderr[-2000:]

@@ -38,6 +38,20 @@ def test_cached_pieces_equal_whole_texts():
             assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_lower_case_words_are_split_at_spaces_alone():
+    """Every letter of ASCII and Latin-1, and marks after it, go through the plain tokenizer, not one by one through the whole one."""
+    path = public_tokenizer("word_bpe_49k.json")
+    whole, cached, singly = Tokenizer.from_file(path), CachedTokenizer(path), []
+    one = cached._ids
+    cached._ids = lambda text: singly.append(text) or one(text)
+    letters = [chr(c) for c in (*range(97, 123), *range(223, 247), *range(248, 256))]
+    words = [a + b + c for a in letters[::7] for b in letters for c in letters[::11]] + ["stra\xdfe", "erzu\xdf"]
+    texts = [" ".join(words), " ".join(f"{w}{m}" for w, m in zip(words, [".", ",", "?!", "..."] * len(words), strict=False))]
+    for text, ids in zip(texts, cached.encode(texts), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert not set(singly) & set(words)
+
+
 def test_documents(spark):
     texts = [t for t in mixed_texts() if t[0] not in (40, 41)]
     plain = Tokenizer.from_file(public_tokenizer("word_bpe_49k.json"))

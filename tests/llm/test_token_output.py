@@ -1,10 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from refrain.llm import range_coder
+from refrain.llm import range_coder, token_output
 from refrain.llm.token_output import CachedTokenizer, public_tokenizer, read_token_files, segment_ids, token_files, write_token_files
 from tests.llm.tables import documents, empty, mixed_texts
 
@@ -52,6 +53,49 @@ def test_lower_case_words_are_split_at_spaces_alone():
     assert not set(singly) & set(words)
 
 
+def test_cut_pieces_equal_whole_texts():
+    """Hostile mixes of letters, marks, white space, combining marks and special tokens."""
+    path = public_tokenizer("word_bpe_49k.json")
+    whole, cached, rng = Tokenizer.from_file(path), CachedTokenizer(path), np.random.default_rng(7)
+    parts = ["a", "B", "\xdf", "\xc9", "\xd7", "\xf7", "\xb5", "\xaa", "\xa0", "\x85", "\xad", "7", "\u0663", ".", ",", "!", "|", "#", "?", "'", "s", "-", "<", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", " ", "  ", "\n", "\t", "\r", "\u0301", "\u030c", "J", "\u0130", "\u2019", "\u2028", "\u65e5", "\U0001f600", "\0"]
+    texts = ["", " ", *("".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(3000)), ""]
+    for text, ids in zip(texts, cached.encode(texts), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert cached.encode([]) == [] and [len(x) for x in cached.encode([""])] == [0]
+
+
+def test_marks_do_not_multiply_words():
+    cached = CachedTokenizer(public_tokenizer("word_bpe_49k.json"))
+    cached.encode(["Word word, WORD. word; word: word! word? word... \xc9t\xe9, \xe9t\xe9."])
+    assert len(cached.cache) <= 2 + 8
+
+
+def test_words_in_use_outlive_a_full_cache():
+    cached, learnt = CachedTokenizer(public_tokenizer("word_bpe_49k.json")), []
+    cached.MOST, one = 100, cached._ids
+    cached._ids = lambda text: learnt.append(text) or one(text)
+    for i in range(40):
+        cached.encode([f"in-use {' '.join(f'{i}-{k}' for k in range(20))}"])
+    assert learnt.count("in-use") == 1 and len(cached.cache) <= 100
+
+
+def test_a_few_blocks_more_need_no_run_of_their_own(monkeypatch):
+    runs, encode = [], range_coder._encode
+    monkeypatch.setattr(range_coder, "_encode", lambda blocks, vocabulary: runs.append(len(blocks)) or encode(blocks, vocabulary))
+    blocks = [np.arange(3)] * (range_coder.LANES + 16)
+    payloads = range_coder.encode_blocks(blocks, 300)
+    assert runs == [range_coder.LANES + 16] and len(payloads) == len(blocks)
+    decoded = range_coder.decode_blocks(payloads, [3] * len(blocks), 300)
+    assert all((a == b).all() for a, b in zip(blocks, decoded, strict=True))
+
+
+def test_long_texts_are_cut_in_slices(monkeypatch):
+    monkeypatch.setattr(token_output, "SLICE", 40)
+    texts = pa.array(["a" * 30, "b" * 10, "c", "d" * 100, "", "e"])
+    assert list(token_output._slices(texts)) == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    assert list(token_output._slices(pa.array([], pa.string()))) == []
+
+
 def test_documents(spark):
     texts = [t for t in mixed_texts() if t[0] not in (40, 41)]
     plain = Tokenizer.from_file(public_tokenizer("word_bpe_49k.json"))

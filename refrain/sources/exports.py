@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from refrain.functions import render as X
 from refrain.functions.clips import clip_end, playback_speed
 from refrain.functions.exact import half_up, half_up_digits
+from refrain.operators.batches import bounded_batches
 from refrain.operators.ordered import block_of, dense_index
 from refrain.operators.timeline import gain_points
 from refrain.schemas import ANALYSIS_VERSION
@@ -73,6 +74,7 @@ def render_loops(loops: DataFrame, pcm: DataFrame, lengths: DataFrame) -> DataFr
     ``loops``: song_id, cand_id, start_sec, end_sec, fade_sec, normalize.  A loop is at most
     sixteen bars, so one loop's samples fit a task; loops of a song spread over tasks.
     """
+    bounded_batches(pcm.sparkSession)
     at = loops.join(lengths, "song_id")
     size = pcm.groupBy("song_id").agg(F.max(F.size("samples")).alias("chunk"))
     fade = X.loop_crossfade_sec(F.col("fade_sec"), F.col("start_sec"), F.col("end_sec"), F.col("n_samples"), F.col("sample_rate"))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refrain.operators.batches import bounded_batches
 from refrain.schemas import PCM_CHUNK
 from refrain.sources.wav import CHUNK_SAMPLES, BadWav, decoded, layout, read_wav
 
@@ -28,6 +29,7 @@ def _wav_samples(data: bytes) -> tuple[int, np.ndarray]:
 
 def decode_wav(files: DataFrame, chunk: int = CHUNK_SAMPLES) -> DataFrame:
     """Chunks of WAV contents (song_id, content), a few files per batch; files that can't be read give none (``wav_rejects``)."""
+    bounded_batches(files.sparkSession)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -54,6 +56,7 @@ def decode_wav(files: DataFrame, chunk: int = CHUNK_SAMPLES) -> DataFrame:
 
 def wav_rejects(files: DataFrame) -> DataFrame:
     """(song_id, reason) of the WAV contents that ``decode_wav`` leaves out."""
+    bounded_batches(files.sparkSession)
 
     @F.pandas_udf("string")
     def reason(contents: pd.Series) -> pd.Series:

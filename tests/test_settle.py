@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from refrain.operators.candidates import suppress_near_duplicates
-from refrain.operators.settle import scratch, settle, shared_dir
+from refrain.operators.settle import WIDE_ROWS, scratch, settle, shared_dir
 
 
 def test_scratch_removes_its_tables(spark):
@@ -23,6 +23,40 @@ def test_scratch_removes_its_tables(spark):
     assert not os.path.exists(path.removeprefix("//"))
 
 
+def test_chunks_of_samples_are_read_a_few_at_a_time(spark, tmp_path):
+    """Spark's reader decodes a batch of rows inside one row group, so a row group of chunks must be small."""
+    import pyarrow.parquet as pq
+
+    from queries.signal import text_pcm
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab c"), 6000).alias("text"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    chunks = text_pcm(spark, str(tmp_path))
+    groups = [g for f in chunks.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:").removeprefix("//")).metadata] for g in (m.row_group(i).num_rows for i in range(m.num_row_groups))]
+    assert sum(groups) == chunks.count() == 4 * -(-50 * 24000 // 16384) > 4 * WIDE_ROWS
+    assert max(groups) <= WIDE_ROWS
+
+
+def test_chunks_reach_python_in_bounded_batches(spark):
+    """Stages that see chunks or files lower the session's batch limits, whatever these were."""
+    from refrain.operators.batches import MOST_BYTES, MOST_ROWS
+    from refrain.operators.signal import extract_frames
+    from refrain.schemas import PCM_CHUNK
+    from refrain.sources.pcm import decode_wav, wav_rejects
+
+    keys, most = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"), (MOST_ROWS, MOST_BYTES)
+    files, were = spark.createDataFrame([], "song_id string, content binary"), [spark.conf.get(k) for k in keys]
+    try:
+        for stage, rows in ((extract_frames, spark.createDataFrame([], PCM_CHUNK)), (decode_wav, files), (wav_rejects, files)):
+            for k in keys:
+                spark.conf.set(k, str(1 << 30))
+            stage(rows)
+            assert [int(spark.conf.get(k)) for k in keys] == [*most]
+    finally:
+        for k, v in zip(keys, were, strict=True):
+            spark.conf.set(k, v)
+
+
 def test_touching_long_loops_are_rivals(spark):
     """The later, slightly longer loop reaches back to the start of the earlier one."""
     cols = "song_id string, cand_id string, bars int, start_sec double, end_sec double, seam_score double, quality_score double"

@@ -103,7 +103,8 @@ def linked_fingerprints(distinct: DataFrame, radius: int = 3) -> DataFrame:
             counted = sum((F.bit_count(_segment(diff, parts[(i + j) % m])) for j in range(length)), F.lit(0))
             holds = holds & (counted <= length * radius // m)
         chain = chain | holds
-    candidates = left.join(right, ["ring", "key"]).where(F.col("a") != F.col("b")).where(chain)
+    # Spark sizes the sides as if nothing were exploded, and would collect the flips (some 68 rows a fingerprint) for a broadcast.
+    candidates = left.hint("merge").join(right.hint("merge"), ["ring", "key"]).where(F.col("a") != F.col("b")).where(chain)
     near = candidates.where(F.bit_count(diff) <= radius)
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -6,6 +6,7 @@ import xxhash
 
 from refrain.llm.components import component_labels
 from refrain.llm.simhash import fingerprint, linked_fingerprints, near_duplicates
+from refrain.operators.settle import settle
 from tests.llm.tables import documents, empty, mixed_texts
 
 
@@ -74,3 +75,9 @@ def test_null_ids_and_empty(spark):
     rows = near_duplicates(documents(spark, [(None, "a b c d"), (7, "a b c d"), (None, "other words here now")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("7", "7"), ("None", "7"), ("None", "None")]
     assert near_duplicates(empty(spark)).count() == 0
+
+
+def test_flips_are_not_broadcast(spark):
+    """Spark sizes the exploded sides like the fingerprints; a broadcast of them ran the driver out of memory."""
+    few = settle(spark.createDataFrame([(k << 20,) for k in range(50)], "fp long"))
+    assert "Broadcast" not in linked_fingerprints(few)._jdf.queryExecution().executedPlan().toString()

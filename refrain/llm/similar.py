@@ -150,7 +150,8 @@ def _differences(members: DataFrame, texts: DataFrame, shingle: int) -> DataFram
     often = counts.join(members.groupBy("crowd").agg(F.count(F.lit(1)).alias("n")), "crowd").where("2 * f > n")
     median = settle(often.groupBy("crowd").agg(F.collect_list("h").alias("median")))
     dealt = median.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    met = bags.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")).join(dealt, ["crowd", "salt"], "left")
+    # Merged, as are the joins of exploded rows below: Spark sizes them as if nothing were exploded, and would collect them for a broadcast.
+    met = bags.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")).join(dealt.hint("merge"), ["crowd", "salt"], "left")
     median_or_none = F.coalesce("median", F.array().cast("array<long>"))
     diff = F.concat(F.array_except("bag", median_or_none), F.array_except(median_or_none, "bag"))
     return settle(met.select("node", "size", "part", "crowd", diff.alias("diff")))
@@ -171,11 +172,11 @@ def _crowd_links(differences: DataFrame, least: float) -> DataFrame:
     one = differences.select("node", "crowd", F.explode("diff").alias("h"))
     shared = one.groupBy("crowd", "h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     rarest = Window.partitionBy("node").orderBy(F.desc("f"), F.desc("h"))
-    to_come = one.join(shared, ["crowd", "h"]).withColumn("left", F.row_number().over(rarest)).drop("f", "crowd")
-    prefix = settle(to_come.join(parted, "node").where("left >= greatest(1, (low_e + e) / 2 - 1e-6)").drop("low_e"))
+    to_come = one.hint("merge").join(shared.hint("merge"), ["crowd", "h"]).withColumn("left", F.row_number().over(rarest)).drop("f", "crowd")
+    prefix = settle(to_come.hint("merge").join(parted, "node").where("left >= greatest(1, (low_e + e) / 2 - 1e-6)").drop("low_e"))
     side = lambda name: prefix.select("crowd", "h", *(F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "part", "n", "e", "left")))
     need = (F.col("e_a") + F.col("e_b")) / 2
-    met = side("a").where("left_a >= e_a - 1e-6").join(side("b"), ["crowd", "h"])
+    met = side("a").where("left_a >= e_a - 1e-6").join(side("b").hint("merge"), ["crowd", "h"])
     met = met.where("part_a <> part_b").where((F.col("e_a") < F.col("e_b")) | (F.col("e_a") == F.col("e_b")) & (F.col("node_a") < F.col("node_b")))
     met = met.where(F.least("left_a", "left_b") >= need - 1e-6)
     fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-6  # a smaller share can't be similar
@@ -214,7 +215,7 @@ def similar_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMIL
     own = sketches.join(node_of, "bag")
     nodes = own.where("row = node").select("node", "size", F.posexplode("keys").alias("band", "key"))
     shared = nodes.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    crowds = settle(nodes.join(shared, ["band", "key"]))
+    crowds = settle(nodes.hint("merge").join(shared.hint("merge"), ["band", "key"]))
     proposed = _near_fingerprints(own.where("row = node and size > 0").select("node", "fp"))
     P.drop_shuffles(spark)
     open_nodes = crowds.select(F.col("node").alias("row")).union(proposed.select("a")).union(proposed.select("b")).distinct()

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from collections import Counter
@@ -134,3 +135,21 @@ def test_near_fingerprints_link_without_minhash(spark, monkeypatch):
     monkeypatch.setattr(similar, "band_keys", apart)
     out = similar_groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
     assert dict(map(tuple, out.select("row", "group").collect())) == {i: i // 3 * 3 for i in range(12)}
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes exploded rows as if they were not; a broadcast of them ran the driver out of memory."""
+    plans, settle = [], similar.settle
+    monkeypatch.setattr(similar, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:k], f"edit{k}", *words[k + 1 :]]) for k in range(2, 58, 4)] * 2
+    similar.similar_groups(spark.createDataFrame([*enumerate(texts)], "row long, text string")).collect()
+    for plan in plans:
+        lines = plan.splitlines()
+        depth = [len(re.match(r"[\s:+*()\d-]*", x)[0]) for x in lines]
+        for at, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = list(itertools.takewhile(lambda k: depth[k] > depth[at], range(at + 1, len(lines))))  # noqa: B023
+                made = list(itertools.takewhile(lambda k: "Aggregate" not in lines[k], below))
+                assert not any("Generate" in lines[k] for k in made), plan
+    assert sum("Generate" in x and "SortMergeJoin" in x for x in plans) >= 3

@@ -43,6 +43,8 @@ GRAM = 52
 LEFT = LENGTH - GRAM
 COLD = 200
 PAGE_BYTES = 4 << 20
+#: Pages that Spark's Parquet reader may decode at once; a batch never reaches beyond its row group.
+GROUP_PAGES = 4
 _SLICE = 1 << 18
 #: Rows of one induction, at least, where there are as many; a group is never cut.
 _CHUNK = 20_000
@@ -506,7 +508,7 @@ _ARROW_RESULT = pa.schema([
 def _settle_pages(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/refrain/{uuid.uuid4().hex}"
-    rows.mapInArrow(_pages, _PAGE).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_pages, _PAGE).write.option("compression", "zstd").option("parquet.block.row.count.limit", GROUP_PAGES).parquet(path)
     return spark.read.schema(_PAGE).parquet(path)
 
 

@@ -108,3 +108,19 @@ def test_digests_tell_case_changes_at_all_places_apart():
             rows[-1][q] ^= 0x20
     first, second = S._digests(np.array([list(r) for r in rows], np.uint8))
     assert len({*zip(first.tolist(), second.tolist(), strict=True)}) == len(rows)
+
+
+def test_pages_are_read_a_few_at_a_time(spark):
+    """Spark's reader decodes a batch of rows inside one row group; pages of megabytes in one group filled the heap."""
+    import pyarrow.parquet as pq
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = spark.conf.get(key)
+    spark.conf.set(key, "1")  # a batch gives a page at least
+    try:
+        pages = S._settle_pages(spark.createDataFrame([(i, "word " * 50) for i in range(40)], "id long, text string").coalesce(1))
+    finally:
+        spark.conf.set(key, most)
+    files = [pq.ParquetFile(f.removeprefix("file:").removeprefix("//")).metadata for f in pages.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == 40 and max(groups) == S.GROUP_PAGES

@@ -174,3 +174,13 @@ def test_sample_rate_of_each_song(spark):
     maps = {r.song_id: r for r in M.song_maps(a).collect()}
     assert {r.sampleRate for r in maps.values()} == {8000, 22050, 24000}
     assert all(abs(np.diff(r.beatsSec).mean() - 0.5) < 0.01 for r in maps.values())
+
+
+def test_fixed_offset_ends_before_the_last_frame():
+    """The grid of phase 7.75 ends on the last frame by rounding, which has none after it."""
+    from refrain.operators.tempo import fixed_offset
+
+    assert fixed_offset(np.ones(100), 256 / RATE, 164.38356164383563) == 0.0
+    flux = np.zeros(100)
+    flux[[4, 15, 27]] = 1.0
+    assert 3 <= fixed_offset(flux, 256 / RATE, 164.38356164383563) / (256 / RATE) <= 5
